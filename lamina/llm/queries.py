@@ -31,6 +31,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, predict, sample
+
+    docs = _table(spark, sf_dir, "documents")
+    found = docs.withColumn("p", predict(F.col("text"), sample(docs.where(~held_out(F.col("doc_id"))))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import KINDS, scan, spelled
 
@@ -47,7 +55,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_simhash, op6_secrets, op7_packing)}
+    return {f.__name__: f for f in (op1_mixing, op3_simhash, op4_language, op6_secrets, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
