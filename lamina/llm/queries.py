@@ -60,8 +60,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_simhash, op4_language, op6_secrets, op7_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_simhash, op4_language, op6_secrets, op7_packing, op8_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
