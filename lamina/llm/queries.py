@@ -45,6 +45,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan
+
+    return scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import KINDS, scan, spelled
 
@@ -68,7 +74,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_simhash, op4_language, op6_secrets, op7_packing, op8_nearest)}
+    return {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_simhash, op4_language, op5_pii, op6_secrets, op7_packing, op8_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
