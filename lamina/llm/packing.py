@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Rows that share a length are ranked in this many groups.
-SALTS = 256
+SALTS = 64
 
 
 #: Fixed value: how the byte-level pre-tokenizer of ``tokenizers`` cuts a text.
