@@ -73,8 +73,23 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table has no paths; a document's file is source/lang/doc_id.txt."""
+    from .licences import scan
+
+    docs = _table(spark, sf_dir, "documents")
+    found = scan(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path")))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_simhash, op4_language, op5_pii, op6_secrets, op7_packing, op8_nearest)}
+    return {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_simhash, op4_language, op5_pii, op6_secrets, op7_packing, op8_nearest, op9_quality, op10_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
