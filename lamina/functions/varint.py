@@ -68,4 +68,4 @@ def decode_fixed(data: Column, size: int) -> Column:
 
 def unsigned(n: Column) -> Column:
     """A long in two's complement as the unsigned decimal."""
-    return F.when(n < 0, n.cast("decimal(20,0)") + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(n.cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.when(n < 0, n.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(n.cast("decimal(20,0)")).cast("decimal(20,0)")
