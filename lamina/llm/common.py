@@ -45,6 +45,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def own(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for helper columns beside all of its own."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by ``keys`` (integers), as tables of whole runs with the starts of the runs and the end.
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import own
+
 #: Characters of sample per language; a bound on what training gathers, and on the tables.
 SAMPLE = 40_000
 #: Characters that one labelled text adds to its language's sample, so that no single text fills it.
@@ -118,8 +120,8 @@ class Parser:
         for t in texts:
             go = automaton("".join(c if c in self.code else " " for c in t))
             table = np.full((len(go), self.width), -1, np.int32)
-            for i, own in enumerate(go):
-                for c, to in own.items():
+            for i, steps in enumerate(go):
+                for c, to in steps.items():
                     table[i, self.code[c]] = to
             fresh = np.where(table[0] >= 0, (table[0] + base << 2) | 1, (base << 2) | 2)  # a phrase ends; an unseen letter is one more
             table = np.where(table >= 0, table + base << 2, fresh[None, :])
@@ -203,5 +205,6 @@ def predict(text: Column, samples: dict[str, str]) -> Column:
 
 def known(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
     """``docs`` without the documents that language ID rejects: null texts and texts without a letter. Columns stay as they are."""
-    found = docs.withColumn("_lang", predict(F.col(text), samples))
-    return found.where(F.col("_lang.lang") != "und").select(docs.columns)
+    lang = f"{own(docs)}lang"
+    found = docs.withColumn(lang, predict(F.col(text), samples))
+    return found.where(F.col(lang)["lang"] != "und").select(docs.columns)

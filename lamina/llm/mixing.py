@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import runs, written
+from .common import own, runs, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one group rounds, on average; also how many groups feed one of the next level.
@@ -114,11 +114,11 @@ def _level(last: bool):
             share, size = t.column("share").to_numpy().copy(), t.column("size").to_numpy().astype(float)
             source, node = t.column("source_id").to_numpy(), t.column("node").to_numpy()
             for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                part, own = share[i:j].tolist(), size[i:j].tolist()
+                part, words_of = share[i:j].tolist(), size[i:j].tolist()
                 chance = _chance((int(source[i]), int(node[i]), j - i), j - i).tolist()
-                held = pivotal(part, own, chance)
+                held = pivotal(part, words_of, chance)
                 if last and held >= 0:
-                    draw_last(part, own, held, chance[0])
+                    draw_last(part, words_of, held, chance[0])
                 share[i:j] = part
             yield t.set_column(t.schema.get_field_index("share"), "share", pa.array(share)).to_batches()[0]
 
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         out = out.unionByName(x.select(cols))
     named = plan.select(F.col("source_id").alias("_id"), "source", "source_size", "target")
     out = out.join(named, F.col("source_id") == F.col("_id"))
-    copies = F.col("whole") + F.col("share").cast("long")
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("share").cast("long")).otherwise(F.lit(0).cast("long"))
     return out.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
@@ -174,9 +174,10 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     without doc_id are treated alike. Texts without words go.
     """
     taken = mix(docs, doc_id, text, source).where("copies > 0")
-    order = Window.partitionBy("_d", "_z").orderBy(F.col("copies").desc())
-    taken = taken.select(F.col("doc_id").alias("_d"), F.col("size").alias("_z"), "source", "copies").withColumn("_r", F.row_number().over(order)).select("_d", "_z", "_r", F.col("copies").alias("_copies"))
-    own = Window.partitionBy(doc_id, "_size").orderBy(F.xxhash64(text, source))
-    rows = docs.withColumn("_size", words(F.col(text))).withColumn("_row", F.row_number().over(own))
-    met = rows.join(taken, F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("_size") == F.col("_z")) & (F.col("_row") == F.col("_r")))
-    return met.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    order = Window.partitionBy("doc_id", "size").orderBy(F.col("copies").desc())
+    p = own(docs)
+    taken = taken.withColumn("row", F.row_number().over(order)).select(F.col("doc_id").alias(f"{p}d"), F.col("size").alias(f"{p}z"), F.col("row").alias(f"{p}r"), F.col("copies").alias(f"{p}copies"))
+    alike = Window.partitionBy(doc_id, f"{p}size").orderBy(F.xxhash64(text, source))
+    rows = docs.withColumn(f"{p}size", words(F.col(text))).withColumn(f"{p}row", F.row_number().over(alike))
+    met = rows.join(taken, F.col(doc_id).cast("long").eqNullSafe(F.col(f"{p}d")) & (F.col(f"{p}size") == F.col(f"{p}z")) & (F.col(f"{p}row") == F.col(f"{p}r")))
+    return met.withColumn(f"{p}i", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies").cast("int")))).select(docs.columns)

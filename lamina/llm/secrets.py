@@ -13,6 +13,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import own
+
 # The kinds, their patterns and the least lengths.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -203,9 +205,10 @@ def mask(docs: DataFrame, text: str = "text", model: list[float] | None = None)
     """
     model = train(samples(docs.sparkSession)) if model is None else model
     _, every = spans(F.col(text), model)
-    rows = docs.withColumn("_spans", every)
-    found = F.size("_spans") > 0
-    rows = rows.withColumn(text, F.when(found, masked(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
+    held = f"{own(docs)}spans"
+    rows = docs.withColumn(held, every)
+    found = F.size(held) > 0
+    rows = rows.withColumn(text, F.when(found, masked(F.col(text), F.col(held))).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(found, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)

@@ -18,11 +18,11 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocks, components
-from .common import Forest, runs, written
+from .common import Forest, own, runs, written
 
 BITS = 64
 _CHUNK = 1 << 16
@@ -77,12 +77,12 @@ class Pivots:
     def buckets(self, fp: np.ndarray) -> np.ndarray:
         """One column for each choice of runs: a hash of the coordinates of those runs' pivots, less the distance to zero."""
         table, n = self.table(fp).astype(np.int64), len(self.refs[1])
-        own = [((table[:, 1 + r * n : 1 + (r + 1) * n] - table[:, :1]).view(np.uint64) * self.mix[r]).sum(axis=1, dtype=np.uint64) for r in range(len(self.mix))]
+        ranges = [((table[:, 1 + r * n : 1 + (r + 1) * n] - table[:, :1]).view(np.uint64) * self.mix[r]).sum(axis=1, dtype=np.uint64) for r in range(len(self.mix))]
         out = np.empty((len(fp), len(self.keys)), np.uint64)
         for k, chosen in enumerate(self.keys):
             x = np.full(len(fp), 0x9E3779B97F4A7C15 * (k + 1) % 2**64, np.uint64)
             for r in chosen:
-                x = (x ^ own[r]) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ ranges[r]) * np.uint64(0xBF58476D1CE4E5B9)
                 x ^= x >> np.uint64(29)
             out[:, k] = x
         return out.view(np.int64)
@@ -161,13 +161,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Of rows that repeat that doc_id, the one whose text hashes lowest stays. Rows without doc_id stay all: nothing tells them apart.
     """
     found = near_duplicates(docs, doc_id, text)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stays = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id) == F.col("_kept"), "left_semi")
+    kept = f"{own(docs)}kept"
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    stays = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id).cast("long") == F.col(kept), "left_semi")
     return _one_each(stays, doc_id, text).unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def _one_each(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    by = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    return docs.withColumn("_row", F.row_number().over(by)).where("_row = 1").drop("_row")
+    by, row = Window.partitionBy(doc_id).orderBy(F.xxhash64(text)), f"{own(docs)}row"
+    return docs.withColumn(row, F.row_number().over(by)).where(F.col(row) == 1).drop(row)

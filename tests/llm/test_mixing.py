@@ -52,12 +52,14 @@ def test_pivotal_keeps_words_and_expectations():
 
 def test_mix_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    found = mixing.mix(docs, fan=8).toPandas()
-    again = mixing.mix(docs.repartition(7), fan=8).toPandas()
+    found = mixing.mix(docs, fan=16).toPandas()
+    again = mixing.mix(docs.repartition(7), fan=16).toPandas()
     assert found.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
     assert len(found) == docs.count() and (found.taken <= 3 * found["size"]).all()
-    by = found.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
-    assert ((by.taken - by.target).abs() / by.target).max() < 0.06
+    by = found.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), largest=("size", "max"))
+    assert ((by.taken - by.target).abs() <= by.largest).all()
+    whole = mixing.mix(docs).toPandas().groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((whole.taken - whole.target).abs() / whole.target).max() < 0.05
     words = {r.doc_id: len(r.text.split()) if r.text.isascii() else None for r in docs.collect()}
     assert all(words[d] in (None, s) for d, s in zip(found.doc_id, found["size"], strict=True))
 
