@@ -2,47 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_LOCAL: list[str] = []
+from lamina.session import materialised, scratch
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a session without that setting (a local one, as in tests) gets a folder of its own, removed at exit.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="lamina-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it again: cuts lineage and survives lost executors.
-
-    The files go when the application's JVM ends.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/lamina-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+shared_dir, written = scratch, materialised
 
 
 def own(df: DataFrame) -> str:

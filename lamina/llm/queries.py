@@ -92,5 +92,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_embedding_dedup, op3_simhash, op4_language, op5_pii, op6_secrets, op7_packing, op8_nearest, op9_quality, op10_licences)}
 
 
+#: All pairs by cosine, and the smallest vec_id reachable. The other operators' results need XXH64, tokenizers, random
+#: draws or models that SQL lacks, or are approximate; tests hold them against brute force.
+EMBEDDING_DEDUP = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+ reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
+ least AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+ degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+ SELECT least.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, least.vec_id = component_id AS kept FROM least LEFT JOIN degree ON a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_embedding_dedup": EMBEDDING_DEDUP}
