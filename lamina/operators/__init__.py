@@ -1 +1 @@
-
+"""Operators over operation logs."""

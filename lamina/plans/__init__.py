@@ -1 +1 @@
-
+"""The store and the queries."""

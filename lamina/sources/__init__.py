@@ -1 +1 @@
-
+"""Files and their formats."""
