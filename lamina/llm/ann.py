@@ -155,8 +155,8 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, top = common["dim"], common["n"], common["top"]
     index = index.where(F.size("v") == dim)
-    fit = index.where(F.pmod("node", F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))).orderBy("node").select("v").limit(2 * SAMPLE).collect()
-    forest = Trees(np.array([r["v"] for r in fit] or [[0.0] * dim]), top, trees, depth)
+    fit = index.where(F.pmod("node", F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))).orderBy("node").select("v").limit(2 * SAMPLE).toArrow()
+    forest = Trees(_matrix(fit.column("v")) if fit.num_rows else np.zeros((1, dim)), top, trees, depth)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
