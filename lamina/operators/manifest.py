@@ -13,7 +13,7 @@ FIRST_NUMBER = 2
 
 def segmented(ops: DataFrame, rows: int) -> DataFrame:
     """Adds ``file_number``: consecutive sequences, ``rows`` a segment."""
-    return ops.withColumn("file_number", (F.floor((F.col("seq") - 1) / rows) + FIRST_NUMBER).cast("long"))
+    return ops.withColumn("file_number", F.expr(f"(seq - 1) div {int(rows)}") + FIRST_NUMBER)
 
 
 def segment_stats(segments: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def sequenced(ops: DataFrame, by: Sequence[Column | str], last: int = 0) -> Data
 
 def group_commits(ops: DataFrame, group: int = GROUP) -> DataFrame:
     """(group_no, n_ops, first_seq, last_seq): groups of ``group`` one-operation messages; ``last_seq`` is what a group publishes."""
-    number = F.floor((F.col("seq") - 1) / group).cast("long")
+    number = F.expr(f"(seq - 1) div {int(group)}")
     return ops.groupBy(number.alias("group_no")).agg(F.count("*").alias("n_ops"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
@@ -47,7 +47,7 @@ def rotated(ops: DataFrame, group: int = GROUP, limit: int = MEMTABLE) -> DataFr
     The size is looked at once a group, before it is applied, so the group that exceeds the limit stays. The fold runs
     over one row a group, as one writer's order demands; many writers are many logs.
     """
-    number = F.floor((F.col("seq") - 1) / group).cast("long")
+    number = F.expr(f"(seq - 1) div {int(group)}")
     groups = ops.groupBy(number.alias("group_no")).agg(F.count("*").alias("n_ops"), F.sum(entry_size(F.col("user_key"), F.col("value"))).alias("bytes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
