@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,15 @@ def local(cpus: int | str = "*", **conf: str) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("lamina")
     for k, v in {"spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", **conf}.items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    return share_code(builder.getOrCreate())
+
+
+def share_code(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver found it; a no-op where it is installed or shipped."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    return spark
 
 
 def scratch(spark: SparkSession) -> str:
