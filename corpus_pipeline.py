@@ -8,6 +8,7 @@ go in the first stage; extra columns pass through; empty tables give empty table
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from lamina.llm import langid, mixing, packing, secrets, simhash
 from lamina.llm.common import shared_dir
 from lamina.llm.queries import tokenizer_path
+from lamina.session import share_code
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,19 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("language_id", language), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mix", mix), ("pack", pack)]
+
+
+def _ready(stage):
+    """The stage, with this folder's code known to Python workers."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(share_code(spark), docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _ready(stage)) for name, stage in (("language_id", language), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("mix", mix), ("pack", pack))]
 
 #: SQL expresses neither the parse of language ID nor XXH64; tests hold the stages against brute force.
 ORACLE_SQL = None
