@@ -42,10 +42,10 @@ class Ordered:
         return self.rows.withColumn(name, (F.row_number().over(self.window) + self._by_range(offsets, "long")).cast("long")).drop("_range")
 
     def neighbour(self, value: str, name: str, step: int) -> DataFrame:
-        """``value`` of the next (``step`` 1) or previous (-1) row; null at the ends. Keeps other columns."""
+        """``value`` of the next (``step`` 1) or previous (-1) row; null at the ends. Keeps other columns; ``by`` must ascend."""
         kind = self.rows.schema[value].dataType.simpleString()
         pick = F.min_by if step > 0 else F.max_by
-        edges = self._looked(pick(value, F.struct(*[value])), f"edge {value} {step}")
+        edges = self._looked(pick(value, F.struct(*self.by)), f"edge {value} {step}")
         ranges = [r["_range"] for r in self._looked(F.count("*"), "count")]
         out = {}
         for i in ranges:
