@@ -24,7 +24,7 @@ TARGET = 20_000
 #: Log ratios are averaged over a text's n-grams, so that length alone decides nothing, and weigh this much against the noise.
 SHARPNESS = 40.0
 #: What the sampling keeps of all texts.
-KEEP = 0.5
+KEEP = 0.8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
