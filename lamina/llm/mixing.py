@@ -173,11 +173,22 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     Rows that share a doc_id and a size share what is taken of them, dealt out in order of their text's hash. Rows
     without doc_id are treated alike. Texts without words go.
     """
-    taken = mix(docs, doc_id, text, source).where("copies > 0")
-    order = Window.partitionBy("doc_id", "size").orderBy(F.col("copies").desc())
     p = own(docs)
-    taken = taken.withColumn("row", F.row_number().over(order)).select(F.col("doc_id").alias(f"{p}d"), F.col("size").alias(f"{p}z"), F.col("row").alias(f"{p}r"), F.col("copies").alias(f"{p}copies"))
-    alike = Window.partitionBy(doc_id, f"{p}size").orderBy(F.xxhash64(text, source))
-    rows = docs.withColumn(f"{p}size", words(F.col(text))).withColumn(f"{p}row", F.row_number().over(alike))
-    met = rows.join(taken, F.col(doc_id).cast("long").eqNullSafe(F.col(f"{p}d")) & (F.col(f"{p}size") == F.col(f"{p}z")) & (F.col(f"{p}row") == F.col(f"{p}r")))
+    alike = Window.partitionBy("doc_id", "size")
+    taken = mix(docs, doc_id, text, source).withColumn("n", F.count("*").over(alike)).withColumn("row", F.row_number().over(alike.orderBy(F.col("copies").desc()))).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias(f"{p}d"), F.col("size").alias(f"{p}z"), F.col("row").alias(f"{p}r"), F.col("n").alias(f"{p}n"), F.col("copies").alias(f"{p}copies"))
+    taken = written(taken, "taken")
+    sized = docs.withColumn(f"{p}size", words(F.col(text)))
+
+    def meets() -> Column:
+        return F.col(doc_id).cast("long").eqNullSafe(F.col(f"{p}d")) & (F.col(f"{p}size") == F.col(f"{p}z"))
+
+    # Texts move once: only rows that share doc_id and size need to be numbered before they meet what is taken of them.
+    alone, shared = taken.where(F.col(f"{p}n") == 1), taken.where(F.col(f"{p}n") > 1)
+    met = sized.join(alone.hint("merge"), meets())  # what is taken grows with the documents: never broadcast
+    if not shared.isEmpty():
+        keys = written(shared.select(f"{p}d", f"{p}z").distinct(), "shared")
+        repeated = sized.join(keys, meets(), "left_semi")
+        numbered = repeated.withColumn(f"{p}row", F.row_number().over(Window.partitionBy(doc_id, f"{p}size").orderBy(F.xxhash64(text, source))))
+        met = met.unionByName(numbered.join(shared, meets() & (F.col(f"{p}row") == F.col(f"{p}r"))).drop(f"{p}row"))
     return met.withColumn(f"{p}i", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies").cast("int")))).select(docs.columns)
