@@ -1,4 +1,4 @@
-"""From raw documents to packed sequences: language ID, SimHash near-dedup, secret masking, mixing, best-fit packing.
+"""From raw documents to packed sequences: language ID, near-dedup by shingle overlap, secret masking, mixing, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
 stage's docs. All but the last return the columns of documents. Null texts, texts without letters (and so empty ones)
@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import langid, mixing, packing, secrets, simhash
+from lamina.llm import langid, mixing, overlap, packing, secrets
 from lamina.llm.common import shared_dir
 from lamina.llm.queries import tokenizer_path
 from lamina.session import share_code
@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints."""
-    return simhash.keep_one(docs)
+    """One document of each component of texts whose five-word shingles overlap by 0.8 or more."""
+    return overlap.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

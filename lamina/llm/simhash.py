@@ -155,12 +155,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """``docs`` with one document of each component, the one of smallest doc_id; columns stay as they are.
 
-    Of rows that repeat that doc_id, the one whose text hashes lowest stays. Rows without doc_id stay all: nothing tells them apart.
+    Components are those of ``found`` (doc_id, component_id), or else of ``near_duplicates``. Of rows that repeat that doc_id, the one whose text hashes lowest stays. Rows without doc_id stay all: nothing tells them apart.
     """
-    found = near_duplicates(docs, doc_id, text)
+    found = near_duplicates(docs, doc_id, text) if found is None else found
     kept = f"{own(docs)}kept"
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
     stays = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id).cast("long") == F.col(kept), "left_semi")
