@@ -32,8 +32,6 @@ PER_TEXT = 400
 LETTERS = 95
 #: Texts are parsed in segments of this length, all of them; a phrase ends at a segment's end.
 SEGMENT = 1024
-#: Labelled languages at most.
-LANGUAGES = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,30 +40,36 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(labelled: DataFrame, text: str = "text", lang: str = "lang", characters: int = SAMPLE, per_text: int = PER_TEXT) -> dict[str, str]:
-    """For each language, the starts (``per_text`` characters, lower-cased) of labelled texts that hash lowest, up to ``characters``.
+    """For each language, pieces (``per_text`` characters, lower-cased) of the labelled texts that hash lowest, up to ``characters``.
 
-    With more than four languages the bound is shared: 4 * ``characters`` in all. Copies count once. Null labels and
-    texts without letters play no part. What comes to the driver: a count per language, and some 4 * characters /
-    per_text starts for each of at most ``LANGUAGES`` languages, the most frequent ones.
+    A piece is cut at a hashed place of the whole text, or at its first letter if that piece has none. Copies count
+    once, before the rate of a language is set; a language whose draw ends below the bound is drawn anew at a higher
+    rate, up to all its texts. Null labels and texts without letters play no part. What comes to the driver: a count
+    and some 4 * characters for each language.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    characters = characters * 4 // max(4, len(counts))
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * characters / per_text / r["count"]))])
-    some = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text, F.lit(11)).alias("h"), F.col(text).alias("t"))
-    some = some.where(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.try_element_at(share, F.col("lang")))
-    some = some.select("lang", "h", F.lower(F.substring("t", 1, per_text)).alias("t")).where(F.col("t").rlike(r"\p{L}"))
-    found: dict[str, list] = {}
-    for r in some.groupBy("lang", "h").agg(F.min("t").alias("t")).collect():
-        found.setdefault(r["lang"], []).append((r["h"], r["t"]))
-    return {la: _fill(sorted(found[la]), characters) for la in sorted(found)}
-
-
-def _fill(rows: list[tuple[int, str]], characters: int) -> str:
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text, F.lit(11)).alias("h"), F.col(text).cast("string").alias("t")).where(F.col("t").rlike(r"\p{L}"))
+    size = F.least(F.length("t"), F.lit(per_text))
+    sizes = rows.groupBy("lang", "h").agg(F.max(size).alias("size")).groupBy("lang").agg(F.sum("size").alias("size")).collect()
+    rate = {r["lang"]: min(1.0, 4 * characters / r["size"]) for r in sizes}
+    piece = F.substring("t", F.pmod(F.xxhash64("h"), F.length("t") - size + 1).cast("int") + 1, F.lit(per_text))
+    piece = F.when(piece.rlike(r"\p{L}"), piece).otherwise(F.substring(F.regexp_extract("t", r"(?s)\p{L}.*", 0), 1, per_text))
+    found: dict[str, str] = {}
+    while rate:
+        rates = F.create_map(*[F.lit(x) for r in sorted(rate.items()) for x in r])
+        some = rows.where(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.try_element_at(rates, F.col("lang")))
+        drawn: dict[str, list] = {}
+        for r in some.select("lang", "h", F.lower(piece).alias("t")).groupBy("lang", "h").agg(F.min("t").alias("t")).collect():
+            drawn.setdefault(r["lang"], []).append((r["h"] % (1 << 30), r["h"], r["t"]))
+        full = {la for la, x in rate.items() if x >= 1 or sum(len(t) + 1 for *_, t in drawn.get(la, ())) > characters}
+        found |= {la: _fill([t for *_, t in sorted(drawn[la])], characters) for la in full if la in drawn}
+        rate = {la: min(1.0, 4 * x) for la, x in rate.items() if la not in full}
+    return dict(sorted(found.items()))
+
+
+def _fill(rows: list[str], characters: int) -> str:
     out, size = [], 0
-    for _, t in rows:
+    for t in rows:
         if size >= characters:
             break
         out.append(t)

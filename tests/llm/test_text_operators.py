@@ -62,6 +62,16 @@ def test_phrases_match_a_plain_parse(samples):
         assert got[:, i].tolist() == [parsed(seen, g) for g in go]
 
 
+def test_samples_fill_whatever_the_copies_and_reach_past_the_start(spark):
+    rows = [("en", "one text that is copied again and again")] * 20_000 + [("en", "1 " * 300 + f"number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 60) for i in range(300)]
+    rows += [("xx", "abc")] + [("yy", f"short {i}") for i in range(500)]
+    got = langid.sample(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(got) == {"en", "xx", "yy"} and got["xx"] == "abc" and len(got["en"]) == langid.SAMPLE and "number" in got["en"]
+    assert got["yy"].count("short") == 500
+    few = langid.sample(spark.createDataFrame(rows, "lang string, text string"), characters=900, per_text=300)
+    assert len(few["en"]) == 900 and len(few["yy"]) == 900
+
+
 def test_held_out_accuracy(spark, samples):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(langid.held_out(F.col("doc_id")))
     found = docs.withColumn("p", langid.predict(F.col("text"), samples)).select("lang", "p.*").toDF("lang", "got", "score").toPandas()
