@@ -28,8 +28,8 @@ from .common import own
 SAMPLE = 40_000
 #: Characters that one labelled text adds to its language's sample, so that no single text fills it.
 PER_TEXT = 400
-#: Distinct characters that are told apart; the rest counts as unseen.
-LETTERS = 95
+#: Cells of a dense table of transitions at most (4 bytes each); for more languages or letters the transitions are hashed.
+CELLS = 1 << 25
 #: Texts are parsed in segments of this length, all of them; a phrase ends at a segment's end.
 SEGMENT = 1024
 
@@ -106,36 +106,78 @@ def automaton(text: str) -> list[dict[str, int]]:
     return go
 
 
+class _Hashed:
+    """Numbers by key, both not negative, in open addressing; -1 for keys that it doesn't hold."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free, first = np.unique(slot[left], return_index=True)
+            first = first[self.keys[free] < 0]
+            taken = left[first]
+            self.keys[slot[taken]], self.values[slot[taken]] = keys[taken], values[taken]
+            left = np.delete(left, first)
+            slot[left] = (slot[left] + 1) % len(self.keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot, out, left = self._slot(keys), np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        while len(left):
+            held = self.keys[slot]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (held >= 0)
+            left, slot = left[on], (slot[on] + 1) % len(self.keys)
+        return out
+
+
 class Parser:
-    """Counts the phrases of texts over the automata of all languages at once."""
+    """Counts the phrases of texts over the automata of all languages at once. Every letter of the samples has a code."""
 
-    def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
+    def __init__(self, samples: tuple[tuple[str, str], ...], cells: int = CELLS) -> None:
         self.langs = [la for la, _ in samples]
         texts = ["".join(c if _lettered(c) else " " for c in t) for _, t in samples]
-        common = [c for c, _ in Counter("".join(texts)).most_common() if c != " "][:LETTERS]
-        #: Codes: 0 unseen letters, 1 whatever isn't a letter, then the common letters.
-        self.code = {" ": 1} | {c: i + 2 for i, c in enumerate(common)}
-        self.lut = np.fromiter((0 if _lettered(chr(i)) else 1 for i in range(0x3000)), np.uint8, 0x3000)
-        self.lut = np.concatenate((self.lut, np.zeros(0x110000 - 0x3000, np.uint8)))
+        #: Codes: 0 unseen letters, 1 whatever isn't a letter, then the samples' letters.
+        self.code = {" ": 1} | {c: i + 2 for i, (c, _) in enumerate(Counter("".join(texts).replace(" ", "")).most_common())}
+        self.lut = np.zeros(0x110000, np.int32)
+        self.lut[:0x20000] = np.fromiter((0 if _lettered(chr(i)) else 1 for i in range(0x20000)), np.int32, 0x20000)
         for c, k in self.code.items():
             self.lut[ord(c)] = k
         self.width = len(self.code) + 1
-        tables, self.roots, base = [], [], 0
-        for t in texts:
-            go = automaton("".join(c if c in self.code else " " for c in t))
-            table = np.full((len(go), self.width), -1, np.int32)
-            for i, steps in enumerate(go):
-                for c, to in steps.items():
-                    table[i, self.code[c]] = to
-            fresh = np.where(table[0] >= 0, (table[0] + base << 2) | 1, (base << 2) | 2)  # a phrase ends; an unseen letter is one more
-            table = np.where(table >= 0, table + base << 2, fresh[None, :])
-            table[0] = np.where(table[0] & 2, (base << 2) | 1, table[0])
-            tables.append(table.astype(np.int32))
+        steps, self.roots, base = [], [], 0
+        fresh = np.empty((len(texts), self.width), np.int32)
+        for n, t in enumerate(texts):
+            go = automaton(t)
+            at = np.array([(i + base) * self.width + self.code[c] for i, own in enumerate(go) for c in own], np.int64)
+            to = np.array([x + base << 2 for own in go for x in own.values()], np.int32)
+            fresh[n] = (base << 2) | 2  # a phrase ends; an unseen letter is one more
+            root = at < (base + 1) * self.width
+            fresh[n, at[root] - base * self.width] = to[root] | 1
+            lost = np.flatnonzero(fresh[n] & 2)  # at the root no phrase ends
+            steps += [(at, to), (base * self.width + lost, np.full(len(lost), (base << 2) | 1, np.int32))]
             self.roots.append(base)
             base += len(go)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        at, to = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.int64, np.int32), zip(*steps, strict=True), strict=True)) if steps else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.fresh, self.table, self.hashed = fresh, None, None
+        if base * self.width <= cells:
+            self.table = np.repeat(fresh, np.diff([*self.roots, base]), axis=0).ravel() if texts else np.zeros(0, np.int32)
+            self.table[at] = to
+        else:
+            self.hashed = _Hashed(at, to)
         self.cost = np.array([np.log2(len(t) + 2) for t in texts])
 
+    def _step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """For each language (row) and text the next state times 4 plus the phrases that end."""
+        at = state * self.width + code
+        if self.table is not None:
+            return self.table[at]
+        found = self.hashed.get(at.ravel()).reshape(at.shape)
+        return np.where(found >= 0, found, self.fresh[:, code])
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(languages, texts)."""
         flat = self.lut[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -151,7 +193,7 @@ class Parser:
         state, count = np.repeat(roots, len(at), axis=1), np.zeros((len(self.roots), len(at)), np.int64)
         active = len(length) - np.searchsorted(length[::-1], np.arange(int(length.max(initial=0))), side="right")
         for t, n in enumerate(active.tolist()):
-            v = self.table[state[:, :n] * self.width + flat[at[:n] + t]]
+            v = self._step(state[:, :n], flat[at[:n] + t])
             count[:, :n] += v & 3
             state[:, :n] = v >> 2
         count += state != roots

@@ -72,6 +72,25 @@ def test_samples_fill_whatever_the_copies_and_reach_past_the_start(spark):
     assert len(few["en"]) == 900 and len(few["yy"]) == 900
 
 
+def test_scripts_of_many_letters_are_told_apart():
+    rng = random.Random(5)
+    scripts = {"latin": 0x61, "greek": 0x3B1, "cyrillic": 0x430, "arabic": 0x627, "thai": 0xE01, "devanagari": 0x915, "hangul": 0xAC00, "han": 0x4E00, "han2": 0x6000}
+    letters = {la: [chr(at + i) for i in range(1500 if at >= 0x4E00 else 20)] for la, at in scripts.items()}
+    write = lambda la, n: "".join(rng.choice(letters[la]) + " " * (rng.random() < 0.2) for _ in range(n))
+    texts = tuple(sorted((la, write(la, 3000)) for la in scripts))
+    asked = [(la, write(la, 200)) for la in scripts for _ in range(5)]
+    dense, hashed = langid.Parser(texts, cells=1 << 40), langid.Parser(texts, cells=0)
+    assert dense.table is not None and hashed.table is None
+    assert dense.judge([t for _, t in asked])[0] == [la for la, _ in asked]
+    assert (dense.phrases([t for _, t in asked]) == hashed.phrases([t for _, t in asked])).all()
+
+
+def test_all_labelled_languages_are_learned(spark):
+    rows = [(f"l{i:03}", f"text of {chr(0x4E00 + i)} number" * 3) for i in range(80)]
+    got = langid.sample(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(got) == {la for la, _ in rows}
+
+
 def test_held_out_accuracy(spark, samples):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(langid.held_out(F.col("doc_id")))
     found = docs.withColumn("p", langid.predict(F.col("text"), samples)).select("lang", "p.*").toDF("lang", "got", "score").toPandas()
