@@ -146,8 +146,9 @@ def search(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vecto
     def clean(df: DataFrame) -> DataFrame:
         return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
 
-    rows = clean(vectors).withColumn("node", F.xxhash64("v")).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(f"r <= {2 * k + 2}")
-    index = rows.groupBy("node").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
+    rows = clean(vectors).withColumn("node", F.xxhash64("v")).groupBy("node", "vec_id").agg(F.first("v").alias("v"))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(f"r <= {k + 1}")
+    index = rows.groupBy("node").agg(F.first("v").alias("v"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
     index = written(index, "vectors")
     squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     common = index.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(squared).alias("top")).orderBy(F.desc("n"), "dim").first()

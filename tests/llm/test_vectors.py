@@ -109,6 +109,13 @@ def test_recall_on_embeddings(spark):
     assert len(hits) == (ids % 20 == 0).sum() and np.mean(hits) >= 0.9
 
 
+def test_repeated_rows_hide_no_id(spark):
+    rows = [(1, [1.0, 0.0])] * 50 + [(i, [1.0, 0.0]) for i in range(2, 30) for _ in range(3)] + [(100, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id in (1, 29)"), k=20, trees=2, depth=1, share=2.0).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 1] == list(range(2, 22)) and [r.vec_id for r in got if r.query_id == 29] == list(range(1, 21))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, node long, leaf long")
     assert embed_dedup.near_duplicates(none).count() == 0 and ann.search(none, none).count() == 0
