@@ -116,6 +116,19 @@ def test_repeated_rows_hide_no_id(spark):
     assert [r.vec_id for r in got if r.query_id == 1] == list(range(2, 22)) and [r.vec_id for r in got if r.query_id == 29] == list(range(1, 21))
 
 
+def test_few_distinct_vectors_give_all_their_ids(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(21, 16))
+    rows = [(i, x.tolist()) for i, x in enumerate(v / np.linalg.norm(v, axis=1, keepdims=True))]
+    for n in (5, 21):
+        df = spark.createDataFrame(rows[:n], "vec_id long, embedding array<double>")
+        got: dict[int, list] = {}
+        for r in ann.search(df, df).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        unit = np.array([x for _, x in rows[:n]])
+        assert got == {i: sorted(set(range(n)) - {i}, key=lambda j, i=i: -(unit[i] @ unit[j])) for i in range(n)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, node long, leaf long")
     assert embed_dedup.near_duplicates(none).count() == 0 and ann.search(none, none).count() == 0
