@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, and words nearby adjust the score.
 
 The base kinds (e-mail, IPv4, card, phone) are kept whatever their score. Further proposals, IBANs, social security
-numbers and national phone numbers, become spans if their score, of checksum and context, reaches the threshold.
+numbers and national phone numbers, become spans if a checksum confirms them or their score of context reaches the threshold.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def score(text: str, start: int, end: int, kind: int, checked: bool) -> float:
 
 
 def further(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of the further kinds that reach the threshold and meet no base span."""
+    """Spans of the further kinds that a checksum confirms or that reach the threshold, and meet no base span."""
     out: list[tuple[int, int, int]] = []
     for kind, pattern in ((4, _IBAN), (5, _SSN), (6, _NATIONAL)):
         for m in pattern.finditer(text):
@@ -98,7 +98,7 @@ def further(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int
             if kind == 4 and not checked:
                 continue
             s, e = m.span()
-            if score(text, s, e, kind, checked) >= THRESHOLD and not any(a < e and s < b for a, _, b in known) and not any(a < e and s < b for a, _, b in out):
+            if (checked or score(text, s, e, kind, checked) >= THRESHOLD) and not any(a < e and s < b for a, _, b in known) and not any(a < e and s < b for a, _, b in out):
                 out.append((s, kind, e))
     return out
 

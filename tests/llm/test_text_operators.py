@@ -123,6 +123,12 @@ def personal(text):
     return sorted(out)
 
 
+def test_confirmed_checksum_stands_beside_counter_words():
+    text = "Invoice 4711, pay to DE89 3704 0044 0532 0130 00"
+    assert [(text[s:e], pii.KINDS[k]) for s, k, e in pii.further(text, [])] == [("DE89 3704 0044 0532 0130 00", "iban")]
+    assert pii.further(text.replace("DE89", "DE88"), []) == []
+
+
 def test_base_spans_match_plain_patterns():
     rng = random.Random(4)
     texts = ["".join(rng.choice("a1.@+-( )%9_B0x4") for _ in range(rng.randint(0, 60))) for _ in range(20_000)]
