@@ -16,16 +16,18 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import own, written
 
-#: Rows that share a length are ranked in this many groups.
-SALTS = 64
+#: Rows of one length that are ranked in one group, about.
+GROUP = 1 << 19
 
 
 #: Fixed value: how the byte-level pre-tokenizer of ``tokenizers`` cuts a text.
@@ -43,7 +45,7 @@ class Encoder:
     as fast; tests hold them against ``tokenizers`` itself (``raw``). In that pattern no pre-token crosses a line feed
     or reaches left over a single space, so words are encoded once and remembered (up to ``memory`` of them, then
     afresh). Where white space runs together or ends a text, the cut is made only at single spaces between other
-    characters. Special tokens' strings are ordinary text.
+    characters. A text that holds the string of an added token goes to ``tokenizers`` as it is, which gives that token.
     """
 
     def __init__(self, path: str, memory: int = 1 << 19) -> None:
@@ -52,8 +54,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        ranks = {bytes(map(_BYTE_OF.__getitem__, k)): i for k, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if not k.startswith("<|")}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = {bytes(map(_BYTE_OF.__getitem__, k)): i for k, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if k not in self.added}
         bpe = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.memory, self.first, self.rest = memory, _Words(bpe, ""), _Words(bpe, " ")
 
@@ -66,6 +68,8 @@ class Encoder:
             self.rest.clear()
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.raw([text])[0]
         words = text.split()
         if len("".join(words)) + len(words) - 1 != len(text):  # white space is not one character between each two words
             return self._line(_SINGLE.split(text))
@@ -116,6 +120,8 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 # ---------------------------------------------------------------- bin completion over counts
 
 Pattern = tuple[tuple[int, ...], int]
+#: Nodes that the search opens, and completions that it looks at in each: bounds on its time alone.
+NODES, WIDTH = 96, 32
 
 
 def best_fit(counts: dict[int, int], size: int) -> list[Pattern]:
@@ -193,21 +199,21 @@ def lower_bound(left: dict[int, int], size: int) -> int:
     return int(max(-(-volume[-1] // size), alone + over.max(initial=0)))
 
 
-def bin_completion(counts: dict[int, int], size: int, nodes: int = 64, width: int = 64) -> list[Pattern]:
+def bin_completion(counts: dict[int, int], size: int, nodes: int = NODES, width: int = WIDTH) -> list[Pattern]:
     """Patterns (lengths, number of sequences) that hold all pieces, in as few sequences as the search finds.
 
-    Depth-first over undominated completions around the largest piece left; a branch goes when its sequences plus the
-    lower bound of what is left reach the incumbent. Each node's best-fit solution is tried as an incumbent. Ends when
-    the incumbent meets the lower bound, or after ``nodes`` nodes (then it is the best found).
+    Undominated completions around the largest piece left are tried in order of how often a branch left the first of
+    them (limited discrepancies), so that early choices are revised as well as late ones; a branch goes when its
+    sequences plus the lower bound of what is left reach the incumbent. Each node's best-fit solution is tried as an
+    incumbent. Ends when the incumbent meets the lower bound, or after ``nodes`` nodes: then it is the best found, and
+    at most its distance to ``lower_bound`` from the fewest. No piece is left out either way.
     """
     counts = {s: n for s, n in counts.items() if n}
     least, best = lower_bound(counts, size), best_fit(counts, size)
-    best_n, spent = sum(n for _, n in best), 0
-    if best_n <= least:
-        return best
-    stack: list[tuple[dict[int, int], list[Pattern], int]] = [(counts, [], 0)]
-    while stack and spent < nodes and best_n > least:
-        left, made, used = stack.pop()
+    best_n, spent, made_so_far = sum(n for _, n in best), 0, count()
+    queue: list[tuple] = [(0, 0, next(made_so_far), counts, [], 0)]
+    while queue and spent < nodes and best_n > least:
+        off, depth, _, left, made, used = heappop(queue)
         spent += 1
         if not left:
             if used < best_n:
@@ -215,53 +221,64 @@ def bin_completion(counts: dict[int, int], size: int, nodes: int = 64, width: in
             continue
         if used + lower_bound(left, size) >= best_n:
             continue
-        rest = best_fit(left, size)
-        if (n := used + sum(k for _, k in rest)) < best_n:
-            best, best_n = made + rest, n
-        for fill in reversed(completions(left, size, width)):
+        if depth:
+            rest = best_fit(left, size)
+            if (n := used + sum(k for _, k in rest)) < best_n:
+                best, best_n = made + rest, n
+        for k, fill in enumerate(completions(left, size, width)):
             after = dict(left)
             pattern = _apply(fill, after)
-            stack.append((after, [*made, pattern], used + pattern[1]))
+            heappush(queue, (off + min(k, 1), depth - 1, next(made_so_far), after, [*made, pattern], used + pattern[1]))
     return best
 
 
 # ---------------------------------------------------------------- placing
 
 
-def pack(parts: DataFrame, size: int = 1024, nodes: int = 64, salts: int = SALTS) -> DataFrame:
+def pack(parts: DataFrame, size: int = 1024, nodes: int = NODES, group: int = GROUP) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``parts`` (doc_id, piece, length, ...); lengths are at most ``size``.
 
-    Rows of a length are ranked within ``salts`` groups and shifted by the groups before, so no length, however
-    common, is ranked in one task. Repeated rows are pieces of their own. Each sequence is gapless from offset 0.
+    Pieces that fill a sequence have one each, without any ranking; its number is negative. The others are ranked within
+    groups of about ``group`` rows of a length and shifted by the groups before, so no length, however common, is ranked
+    in one task. Repeated rows are pieces of their own; an empty table gives an empty one; columns of any name pass
+    through. Each sequence is gapless from offset 0.
     """
-    parts = written(parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "pieces")
-    groups = parts.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    found = {(r["length"], r["_salt"]): r["n"] for r in groups.collect()}  # at most size * salts counts
+    p = own(parts)
+    parts = written(parts, "pieces")
+    whole, rest = parts.where(F.col("length") == size), parts.where(F.col("length") < size)
+    whole = whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    lengths = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}  # below ``size`` rows
+    many = {length: -(-n // group) for length, n in lengths.items() if n > group}
+    salt = F.lit(0)
+    if many:
+        groups = F.try_element_at(F.create_map(*[F.lit(x).cast("long") for pair in sorted(many.items()) for x in pair]), F.col("length").cast("long"))
+        salt = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.coalesce(groups, F.lit(1))).cast("int")
+    rest = rest.withColumn(f"{p}salt", salt)
+    found = {(r["length"], r[f"{p}salt"]): r["count"] for r in rest.groupBy("length", f"{p}salt").count().collect()}  # one for each ``group`` rows and length
     counts: dict[int, int] = {}
     shift: list[tuple[int, int, int]] = []
-    for (length, salt), n in sorted(found.items()):
-        shift.append((length, salt, counts.get(length, 0)))
+    for (length, k), n in sorted(found.items()):
+        shift.append((length, k, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + n
-    slots, sequence, taken = [], 0, dict.fromkeys(counts, 0)
+    by_length: dict[int, list[tuple]] = {}
+    sequence, taken = 0, dict.fromkeys(counts, 0)
     for fill, times in bin_completion(counts, size, nodes):
         at = 0
         for length in fill:
-            slots.append((length, taken[length], taken[length] + times, sequence, at))
+            by_length.setdefault(length, []).append((taken[length], sequence, at))
             taken[length] += times
             at += length
         sequence += times
-    # Both tables have a bound: size * salts rows, and the pieces of at most one pattern per emptied length.
+    # Both tables have a bound: a row for each length and ``group`` pieces, and the pieces of at most one pattern per emptied length.
     spark = parts.sparkSession
-    shifts = F.broadcast(spark.createDataFrame(shift, "_l int, _s int, _shift long"))
-    by_length: dict[int, list[tuple]] = {}
-    for length, lo, _, first, at in slots:
-        by_length.setdefault(length, []).append((lo, first, at))
-    places = [(length, [x[0] for x in p], [x[1] for x in p], [x[2] for x in p]) for length, p in sorted(by_length.items())]
-    plan = F.broadcast(spark.createDataFrame(places, "_pl int, _los array<long>, _firsts array<long>, _ats array<long>"))
-    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(shifts, (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s")), "left").withColumn("_r", F.col("_r") + F.col("_shift"))
-    ranked = ranked.join(plan, F.col("length") == F.col("_pl"), "left")
-    k = F.size(F.filter("_los", lambda x: x <= F.col("_r"))) - 1
-    ranked = ranked.withColumn("_k", k)
-    sequence_id = F.get("_firsts", F.col("_k")) + F.col("_r") - F.get("_los", F.col("_k"))
-    return ranked.withColumn("sequence_id", sequence_id).withColumn("offset", F.get("_ats", F.col("_k"))).drop("_salt", "_r", "_l", "_s", "_shift", "_pl", "_los", "_firsts", "_ats", "_k")
+    names = {x: f"{p}{x}" for x in ("salt", "r", "l", "s", "shift", "pl", "los", "firsts", "ats", "k")}
+    shifts = F.broadcast(spark.createDataFrame(shift, f"{names['l']} int, {names['s']} int, {names['shift']} long"))
+    places = [(length, [x[0] for x in q], [x[1] for x in q], [x[2] for x in q]) for length, q in sorted(by_length.items())]
+    plan = F.broadcast(spark.createDataFrame(places, f"{names['pl']} int, {names['los']} array<long>, {names['firsts']} array<long>, {names['ats']} array<long>"))
+    rank = F.row_number().over(Window.partitionBy("length", names["salt"]).orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    ranked = rest.withColumn(names["r"], rank).join(shifts, (F.col("length") == F.col(names["l"])) & (F.col(names["salt"]) == F.col(names["s"])), "left")
+    ranked = ranked.withColumn(names["r"], F.col(names["r"]) + F.col(names["shift"])).join(plan, F.col("length") == F.col(names["pl"]), "left")
+    ranked = ranked.withColumn(names["k"], F.size(F.filter(names["los"], lambda x: x <= F.col(names["r"]))) - 1)
+    sequence_id = F.get(names["firsts"], F.col(names["k"])) + F.col(names["r"]) - F.get(names["los"], F.col(names["k"]))
+    ranked = ranked.withColumn("sequence_id", sequence_id).withColumn("offset", F.get(names["ats"], F.col(names["k"])))
+    return ranked.drop(*names.values()).unionByName(whole)

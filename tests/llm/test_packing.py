@@ -5,18 +5,22 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lamina.llm import packing
-from lamina.llm.queries import tokenizer_path
+from lamina.llm.queries import op7_packing, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
-ODD = ["", " ", "a", "a  b", "\n\nx \ny", "tab\t x", "<|endoftext|> hi", "a " * 500, "\x1c a\x1fb", "don't  I'll", " lead", "trail ", "a\n\nb", "a\r\nb c", "x 　y 12 34", "\u0085x y", "x  y", "ña.ó,x! '''s"]
+ODD = ["", " ", "a", "a  b", "\n\nx \ny", "tab\t x", "<|endoftext|> hi", "x <|endoftext|> y <|endoftext|>\n", "<|endoftext", "a <| b", "a " * 500, "\x1c a\x1fb", "don't  I'll", " lead", "trail ", "a\n\nb", "a\r\nb c", "x 　y 12 34", "\u0085x y", "x  y", "ña.ó,x! '''s"]
 
 
 def test_ids_are_those_of_the_tokenizer(spark):
-    encoder = packing.Encoder(tokenizer_path())
+    fresh, encoder = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ODD
-    assert [encoder.encode(t) for t in texts] == encoder.raw(texts)
+    for t in texts:
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == fresh.encode(t, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encoder.encode("x <|endoftext|> y"), "<u4")
 
 
 def optimum(sizes, room):
@@ -66,9 +70,9 @@ def check(rows, docs, size, end):
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
         by_sequence.setdefault(r.sequence_id, []).append(r)
-    encoder = packing.Encoder(tokenizer_path())
+    fresh = Tokenizer.from_file(tokenizer_path())
     for d, text in docs.items():
-        ids = np.frombuffer(encoder.raw([text or ""])[0], "<u4").tolist() + [end]
+        ids = fresh.encode(text or "", add_special_tokens=False).ids + [end]
         own = sorted(by_doc[d], key=lambda r: r.piece)
         assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(ids)
         assert all(r.length == size for r in own[1:])
@@ -85,7 +89,9 @@ def check(rows, docs, size, end):
 
 def test_documents_in_sequences(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = packing.pack(packing.pieces(docs, tokenizer_path())).collect()
+    out = op7_packing(spark, SF)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
+    rows = out.collect()
     check(rows, {r.doc_id: r.text for r in docs.collect()}, 1024, 2)
     counts = Counter(r.length for r in rows)
     assert len({r.sequence_id for r in rows}) <= packing.lower_bound(counts, 1024) * 1.02 + 1
@@ -99,3 +105,21 @@ def test_odd_rows(spark, odd, nothing):
     assert max(places.values()) == 1  # repeated rows have places of their own
     assert packing.pack(packing.pieces(nothing, tokenizer_path())).count() == 0
     assert packing.pieces(nothing, tokenizer_path(), end=None).count() == 0
+
+
+def test_common_lengths_are_ranked_in_groups(spark):
+    parts = spark.range(4000).select((F.col("id") % 1300).alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") < 2500, 30).when(F.col("id") < 3000, 100).otherwise(40 + F.col("id") % 40).cast("long").alias("length"), F.col("id").alias("ids_crc32"), F.lit(7).alias("_r"), F.lit("x").alias("_salt"))
+    out = packing.pack(parts, size=100, group=64)
+    assert out.columns == [*parts.columns, "sequence_id", "offset"]
+    used: dict[int, list] = {}
+    rows = out.collect()
+    for r in rows:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 4000 and len({r.ids_crc32 for r in rows}) == 4000
+    for own in used.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 100
+    assert len(used) <= packing.lower_bound(Counter(r.length for r in rows), 100) * 1.02 + 1
