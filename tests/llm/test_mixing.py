@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,49 @@ def test_mix_of_odd_rows(spark, odd, nothing):
     assert len(found) == odd.count() and (found.taken == found.copies * found["size"]).all()
     assert (found[found.doc_id.isin([4, 5, 6])].taken == 0).all()
     assert found[found.source.isna()].target.nunique() == 1
+    again = mixing.mix(odd.repartition(5)).toPandas()
+    assert sorted(again.taken.tolist()) == sorted(found.taken.tolist())
     mixed = mixing.mixed(odd)
     assert mixed.columns == odd.columns and mixed.count() == found[found["size"] > 0].copies.sum()
     assert mixing.mix(nothing).count() == 0 and mixing.mixed(nothing).count() == 0
+
+
+def test_sources_that_share_ids_and_sizes_keep_their_words(spark):
+    rows = [(i, "w " * (1 + i % 7), s) for s in ("x", "y") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).toPandas().set_index("source")
+    mixed = mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).toPandas().set_index("source")
+    assert mixed.n.to_dict() == mix.n.to_dict() and ((mix.n - mix.t).abs() <= 7).all() and mix.t["y"] == 2 * mix.t["x"]
+
+
+def test_a_hot_repeated_row_is_one_unit(spark):
+    rows = [(None, "a b c", None)] * 3000 + [(1, "a b", "s")] * 500 + [(i, "w " * (1 + i % 9), "s") for i in range(2, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    found = mixing.mix(docs, fan=16).toPandas()
+    assert len(found) == len(rows) and (found.taken <= 3 * found["size"]).all()
+    by = found.groupby("source", dropna=False).agg(t=("target", "first"), n=("taken", "sum"))
+    assert ((by.t - by.n).abs() <= 9).all()
+    hot = found[found.doc_id.isna()].copies
+    assert hot.max() - hot.min() <= 1
+    assert mixing.mixed(docs).count() == mixing.mix(docs).toPandas().copies.sum()
+
+
+def test_query_of_all_documents(spark):
+    from lamina.llm.queries import op1_mixing
+
+    out = op1_mixing(spark, SF)
+    assert dict(out.dtypes) | {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"} == dict(out.dtypes)
+    found = out.toPandas()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    size = {d: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for d, r in docs.items()}
+    assert found.set_index("doc_id")["size"].to_dict() == size
+    sources = sorted({r.source for r in docs.values()}, key=lambda s: (s is None, s))
+    total = {s: sum(size[d] for d, r in docs.items() if r.source == s) for s in sources}
+    want = dict(zip(sources, filled([total[s] for s in sources], [1 + i % 3 for i in range(len(sources))], 3), strict=True))
+    for r in found.itertuples():
+        s = docs[r.doc_id].source
+        assert r.source_size == total[s] and r.target == pytest.approx(want[s]) and r.taken % max(r.size, 1) == 0
+    taken = {s: 0 for s in sources}
+    for r in found.itertuples():
+        taken[docs[r.doc_id].source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 40 for s in sources)
