@@ -206,7 +206,7 @@ class Parser:
         """For each text the language that needs the fewest normalised phrases (first in order on ties), and how far the others are behind."""
         lang, score, some, size = ["und"] * len(texts), [0.0] * len(texts), [], 0
         for i, x in enumerate(texts):
-            if x and self.langs and _LETTER.search(x):
+            if x and self.langs and has_letter(x):
                 some.append(i)
                 size += len(x)
             if some and (size > 1 << 22 or i == len(texts) - 1):
@@ -219,7 +219,12 @@ class Parser:
         return lang, score
 
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character is of a letter category; ``\\w`` alone would take numerals such as one half for letters."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 def _lettered(c: str) -> bool:
@@ -234,7 +239,8 @@ def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 def predict(text: Column, samples: dict[str, str]) -> Column:
     """A struct (lang, score): the language of each whole text, ``und`` with score 0 if it is null or has no letter.
 
-    Only the text is looked at. Repeated texts get equal answers; without any sample every text is ``und``. The score
+    Only the text is looked at. Repeated texts get equal answers; without any sample every text is ``und``; an empty
+    table gives an empty column; columns beside the text play no part. The score
     is 1 over the sum of 2 to the power of minus each language's lag in phrases: 1 if all others are far behind.
     """
     fixed = tuple(sorted(samples.items()))
