@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from heapq import merge
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,17 +90,38 @@ def score(text: str, start: int, end: int, kind: int, checked: bool) -> float:
     return SCORE + CHECKED * checked + FOR * (not words.isdisjoint(CONTEXT[KINDS[kind]])) - COUNTER * (not words.isdisjoint(AGAINST))
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted disjoint intervals that cover what the sorted ``spans`` (start, end) cover."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def further(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of the further kinds that a checksum confirms or that reach the threshold, and meet no base span."""
+    """Spans of the further kinds that a checksum confirms or that reach the threshold, and meet no base span.
+
+    ``known`` is in order of start; proposals and what is covered are walked together, so the time is linear.
+    """
     out: list[tuple[int, int, int]] = []
+    covered = merged([(s, e) for s, _, e in known])
     for kind, pattern in ((4, _IBAN), (5, _SSN), (6, _NATIONAL)):
+        at, new = 0, []
         for m in pattern.finditer(text):
-            checked = kind == 4 and mod97(m[0])
-            if kind == 4 and not checked:
-                continue
             s, e = m.span()
-            if (checked or score(text, s, e, kind, checked) >= THRESHOLD) and not any(a < e and s < b for a, _, b in known) and not any(a < e and s < b for a, _, b in out):
-                out.append((s, kind, e))
+            while at < len(covered) and covered[at][1] <= s:
+                at += 1
+            if at < len(covered) and covered[at][0] < e:
+                continue
+            checked = kind == 4 and mod97(m[0])
+            if checked or (kind != 4 and score(text, s, e, kind, False) >= THRESHOLD):
+                new.append((s, e))
+        if new:
+            out += [(s, kind, e) for s, e in new]
+            covered = merged(list(merge(covered, new)))
     return out
 
 
@@ -111,7 +133,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found): one row for each row of ``docs``.
 
     ``found`` has (kind, start, end, text, score) of all spans, ``spans`` spells them. A null or empty text has none.
-    Whole texts are scanned, in time linear in their length; offsets are code points, ends exclusive.
+    Whole texts are scanned, in time linear in their length; offsets are code points, ends exclusive. Repeated rows give
+    repeated rows, an empty table an empty one; other columns play no part.
     """
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,text:string,score:double>>"
 
