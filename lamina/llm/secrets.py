@@ -49,11 +49,14 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def sums_before(steps: Column) -> Column:
-    """For each place of an array of longs, the sum of what stands before: by blocks of about the root of its length."""
+def before(steps: Column, join: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """For each place of an array of longs, what ``join`` (a sum or a maximum of numbers from 0 on) makes of all that stands before.
+
+    By blocks of about the root of the array's length, so no place looks at all others.
+    """
 
     def total(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: join(a, x))
 
     def within(xs: Column) -> Column:
         width = F.ceil(F.sqrt(F.size(xs))).cast("int")
@@ -61,32 +64,35 @@ def sums_before(steps: Column) -> Column:
 
         def place(blocks: Column) -> Column:
             bases = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
-            return let(bases, lambda base: F.transform(xs, lambda _, i: F.get(base, F.floor(i / width).cast("int")) + total(F.slice(xs, F.floor(i / width).cast("int") * width + 1, i % width))))
+            return let(bases, lambda base: F.transform(xs, lambda _, i: join(F.get(base, F.floor(i / width).cast("int")), total(F.slice(xs, F.floor(i / width).cast("int") * width + 1, i % width)))))
 
         return let(blocks, place)
 
     return F.when(F.size(steps) > 0, let(steps, within)).otherwise(F.array().cast("array<bigint>"))
 
 
+NONE = "array<struct<start:bigint,kind:int,end:bigint,found:string>>"
+
+
 def matches(text: Column, pattern: str, kind: int) -> Spans:
     """Leftmost non-overlapping matches as (start, kind, end, found), in code points."""
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,found:string>>")
 
-    def place(z: Column) -> Column:
-        between, found = z["between"], z["found"]
-        steps = F.transform(found, lambda x, i: (F.length(x) + F.length(F.get(between, i))).cast("long"))
+    def place(found: Column) -> Column:
+        def among(between: Column) -> Column:
+            steps = F.transform(found, lambda x, i: (F.length(x) + F.length(F.get(between, i))).cast("long"))
+
+            def span(ahead: Column) -> Column:
+                def one(x: Column, i: Column) -> Column:
+                    start = F.get(ahead, i) + F.length(F.get(between, i))
+                    return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x)).alias("end"), x.alias("found"))
 
-        def span(before: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                start = F.get(before, i) + F.length(F.get(between, i))
-                return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(x)).alias("end"), x.alias("found"))
+                return F.transform(found, one)
 
-            return F.transform(found, one)
+            return let(before(steps), span)
 
-        return let(sums_before(steps), span)
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), among)).otherwise(F.array().cast(NONE))
 
-    both = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    return F.when(text.rlike(pattern), let(both, place)).otherwise(none)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
 def base_spans(text: Column) -> Spans:
@@ -150,21 +156,47 @@ def ratio(token: Column, table: Column) -> Column:
 
 def random_spans(text: Column, model: list[float]) -> Spans:
     """Tokens that the model calls random."""
-    found = matches(text, TOKEN, 3)
     table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
 
-    def judged(table: Column) -> Column:
-        return F.filter(found, lambda s: (F.size(F.array_distinct(F.split(s["found"], ""))) >= VARIED) & let(ratio(s["found"], table), lambda r: (r >= IN_ALL) & (r >= PER_PAIR * (F.length(s["found"]) - 1))))
+    def judged(found: Column) -> Column:
+        def keep(table: Column) -> Column:
+            return F.filter(found, lambda s: (F.size(F.array_distinct(F.split(s["found"], ""))) >= VARIED) & let(ratio(s["found"], table), lambda r: (r >= IN_ALL) & (r >= PER_PAIR * (F.length(s["found"]) - 1))))
+
+        return F.when(F.size(found) > 0, let(table, keep)).otherwise(found)
+
+    return let(matches(text, TOKEN, 3), judged)
+
+
+def clear(base: Column, more: Column) -> Spans:
+    """``base`` and those of ``more`` that meet none of ``base``, in order of start, then kind; ``more`` doesn't overlap itself.
+
+    In that order a span of ``more`` meets an earlier base span if it begins before the farthest end so far, and a later
+    one only if that is the very next.
+    """
+
+    def judged(every: Column) -> Column:
+        ends = F.transform(every, lambda s: F.when(s["kind"] < len(KINDS) - 1, s["end"]).otherwise(F.lit(0).cast("long")))
+
+        def keep(reach: Column) -> Column:
+            def stays(s: Column, i: Column) -> Column:
+                after = F.get(every, i + 1)
+                meets = (F.get(reach, i) > s["start"]) | F.coalesce((after["kind"] < len(KINDS) - 1) & (after["start"] < s["end"]), F.lit(False))
+                return (s["kind"] < len(KINDS) - 1) | ~meets
+
+            return F.filter(every, stays)
+
+        return let(before(ends, F.greatest), keep)
+
+    return F.when(F.size(more) > 0, let(F.array_sort(F.concat(base, more)), judged)).otherwise(base)
+
 
-    return F.when(text.rlike(TOKEN), let(table, judged)).otherwise(F.slice(found, 1, 0))
+def spans(text: Column, model: list[float]) -> Column:
+    """A struct (base, spans) of spans in order of start, then kind; a null text is empty. A random token that meets a base span adds nothing."""
 
+    def found(text: Column) -> Column:
+        return let(F.array_sort(base_spans(text)), lambda base: F.struct(base.alias("base"), let(random_spans(text, model), lambda more: clear(base, more)).alias("spans")))
 
-def spans(text: Column, model: list[float]) -> tuple[Column, Column]:
-    """(base, all) spans in order of start, then kind; a null text is empty. A random token that meets a base span adds nothing."""
-    text = F.coalesce(text, F.lit(""))
-    base = F.array_sort(base_spans(text))
-    every = F.array_sort(F.concat(base, F.filter(random_spans(text, model), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))))
-    return base, every
+    return let(F.coalesce(text, F.lit("")), found)
 
 
 def spelled(found: Spans) -> Column:
@@ -176,39 +208,53 @@ def spelled(found: Spans) -> Column:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: list[float] | None = None) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, kind, end, found) for each row of ``docs``.
 
-    Null and empty texts have no spans; whole texts are scanned whatever their length; repeated rows give repeated rows.
+    Null and empty texts have no spans; whole texts are scanned whatever their length; repeated rows give repeated rows,
+    an empty table an empty one; other columns play no part.
     """
     model = train(samples(docs.sparkSession)) if model is None else model
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("base", F.array_sort(base_spans(F.col("text"))))
-    rows = rows.withColumn("more", random_spans(F.col("text"), model))
-    clear = F.filter("more", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return rows.select("doc_id", "base", F.when(F.size("more") > 0, F.array_sort(F.concat("base", clear))).otherwise(F.col("base")).alias("spans"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), spans(F.col(text), model).alias("found"))
+    return rows.select("doc_id", "found.base", "found.spans")
+
+
+#: Characters of one piece of a text that is cut for masking; a place is sought within its piece alone.
+PIECE = 4096
 
 
 def masked(text: Column, found: Spans, mark: str = "[REDACTED]") -> Column:
-    """The text with every span replaced; spans that meet are replaced as one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    """The text with every span replaced; spans that meet are replaced as one. ``found`` isn't empty and in order of start."""
+
+    def piece(cut: Column, a: Column, b: Column) -> Column:
+        i, j = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        here, there = (a - i.cast("long") * PIECE).cast("int"), (b - j.cast("long") * PIECE).cast("int")
+        head = F.coalesce(F.substr(F.get(cut, i), here + 1), F.lit(""))
+        tail = F.coalesce(F.substr(F.get(cut, j), F.lit(1), there), F.lit(""))
+        within = F.substr(F.get(cut, i), here + 1, (b - a).cast("int"))
+        return F.when(a >= b, F.lit("")).when(i == j, within).otherwise(F.concat(head, F.array_join(F.slice(cut, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), tail))
+
+    def build(cut: Column) -> Column:
+        def parts(reach: Column) -> Column:
+            def part(s: Column, i: Column) -> Column:
+                at = F.get(reach, i)
+                return F.when((i == 0) | (s["start"] > at), F.concat(piece(cut, at, s["start"]), F.lit(mark))).otherwise(F.lit(""))
+
+            return F.array_join(F.transform(found, part), "")
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = (s["start"] > a["at"]) | (F.length(a["out"]) == 0)
-        added = F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, added).otherwise(a["out"]).alias("out"))
+        last = F.aggregate(found, F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["end"]))
+        return F.concat(let(before(F.transform(found, lambda s: s["end"]), F.greatest), parts), piece(cut, last, F.length(text).cast("long")))
 
-    return F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"))))
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), build)
 
 
 def mask(docs: DataFrame, text: str = "text", model: list[float] | None = None) -> DataFrame:
     """``docs`` with the secrets of each text replaced by a mark; texts without any, and null ones, stay as they are.
 
-    A column ``n_chars``, where there is one, follows the new text.
+    A column ``n_chars``, where there is one, follows the new text. An empty table stays empty; repeated rows stay.
     """
     model = train(samples(docs.sparkSession)) if model is None else model
-    _, every = spans(F.col(text), model)
-    held = f"{own(docs)}spans"
-    rows = docs.withColumn(held, every)
-    found = F.size(held) > 0
-    rows = rows.withColumn(text, F.when(found, masked(F.col(text), F.col(held))).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(found, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+    held, new = f"{own(docs)}spans", f"{own(docs)}masked"
+    rows = docs.withColumn(held, spans(F.col(text), model)["spans"])
+    rows = rows.withColumn(new, F.when(F.size(held) > 0, masked(F.col(text), F.col(held))))
+    out = {text: F.coalesce(new, text)}
+    if "n_chars" in docs.columns and text != "n_chars":
+        out["n_chars"] = F.when(F.col(new).isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.withColumns(out).select(docs.columns)
