@@ -1,9 +1,11 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-A text's blocks of neighbouring lines that speak of licences, and their sentences, are compared to templates by cosine of
-TF-IDF vectors; words that no template has count with the largest weight, so other prose lowers the cosine. A file
-whose words are mostly licence text, or that is named as such, licenses its directory; files without a licence of their
-own take that of the nearest directory above them, by joins on directory paths.
+Templates are whole licence texts (the files of ``templates/``) and short notices. A text that speaks of licences is
+compared at ever finer levels: whole, runs of paragraphs, paragraphs, lines, sentences; comment marks don't count, so a
+header wrapped in a comment is one paragraph. What is near enough to its template isn't looked into further. Words that
+no template has count with the largest weight, so other prose lowers the cosine. A file whose words are mostly licence
+text, or that is named as such, licenses its directory; files without a licence of their own take that of the nearest
+directory above them, by joins on directory paths.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Cosine from which a block is a licence, and the share of a file's words from which it is a licence file.
-LEAST, MOSTLY = 0.6, 0.5
+#: Cosine from which a piece of text is a licence, from which it isn't looked into further, and the share of a file's
+#: words from which it is a licence file.
+LEAST, SURE, MOSTLY = 0.6, 0.85, 0.5
 
 # Notices by licence identifier.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -53,13 +57,46 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 public domain dedication"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-only"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited. Proprietary and confidential"),
 )
+#: Words of which a paragraph has one if it may be part of a licence, and words that a run of such paragraphs may go on with.
 TRIGGERS = ("licens", "licenc", "spdx", "permission", "redistribut", "public domain", "all rights reserved", "copyright", "creative commons")
+LEGAL = (*TRIGGERS, "warrant", "liab", "condition", "provided", "contributor", "http:", "https:", "the software", "the work", "free software foundation", "as is")
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_LEAD = re.compile(r"(?:#+|//+!?|/\*+|\*+/?|;+|--+|%+|<!--|\"{3}|'{3}|REM\b|dnl\b)[ \t]*")
+
+
+def unmarked(text: str) -> str:
+    """The text without comment marks at the ends of its lines."""
+    out = []
+    for line in text.split("\n"):
+        line = line.strip(" \t\r").removesuffix("*/").removesuffix("-->").rstrip()
+        mark = _LEAD.match(line)
+        out.append(line[mark.end() :] if mark else line)
+    return "\n".join(out)
+
+
+@lru_cache(maxsize=1)
+def templates() -> tuple[tuple[str, str], ...]:
+    """(identifier, text): the notices, the files of ``templates/``, and the Affero form of the GNU licence, which differs from it in name."""
+    folder = resources.files(__package__).joinpath("templates")
+    files = {x.name.removesuffix(".txt"): x.read_text(encoding="utf-8") for x in folder.iterdir() if x.name.endswith(".txt")}
+    affero = files["GPL-3.0"].replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE").replace("GNU General Public License", "GNU Affero General Public License")
+    return (*NOTICES, *sorted((files | {"AGPL-3.0": affero}).items()))
 
 
 def _terms(text: str) -> Counter:
@@ -95,50 +132,102 @@ class Model:
         top = max(dots)
         return round(top / math.sqrt(norm), 9), min(n for n, d in zip(self.names, dots, strict=True) if d == top)
 
-    def read(self, text: str) -> tuple[str | None, float, int, int]:
-        """(identifier, cosine, words of licence text, words) of a whole text; of several licences, the one nearest its template."""
-        low, found, held = text.lower(), (0.0, ""), 0
+    def levels(self, text: str) -> list[str]:
+        """Finer parts of a text that may be licences: runs of paragraphs, or of a single paragraph the lines, or of a single line the sentences."""
+        paragraphs = [x for x in _BLANK.split(text) if x.strip()]
+        if len(paragraphs) > 1:
+            out: list[list[str]] = []
+            for x in paragraphs:
+                low = x.lower()
+                if any(t in low for t in LEGAL):
+                    if out and out[-1]:
+                        out[-1].append(x)
+                    elif any(t in low for t in TRIGGERS):
+                        out.append([x])
+                elif out and out[-1]:
+                    out.append([])
+            runs = [x for x in out if x]
+            return ["\n\n".join(x) for x in runs] if runs != [paragraphs] else paragraphs
+        lines = [x for x in text.split("\n") if x.strip()]
+        if len(lines) > 1:
+            return _runs_of(lines) if _runs_of(lines) != ["\n".join(lines)] else lines
+        return _SENTENCE.split(text.strip())
+
+    def found(self, text: str) -> list[tuple[float, str, int]]:
+        """(cosine, identifier, words) of the licences in a text: the nearest level that is sure, or else the best of this and the finer ones."""
+        low = text.lower()
+        if not any(t in low for t in TRIGGERS):
+            return []
+        todo, out = [text], []
+        while todo:
+            part = todo.pop()
+            cosine, name = self.best(part)
+            here = [(cosine, name, len(_WORD.findall(part)))] if cosine >= LEAST else []
+            if cosine < SURE:
+                finer = [x for x in self.levels(part) if any(t in x.lower() for t in TRIGGERS)]
+                if finer and finer != [part]:
+                    if not here:
+                        todo += finer
+                        continue
+                    below = [y for x in finer for y in self.found(x)]
+                    if below and max(y[0] for y in below) > cosine:
+                        out += below
+                        continue
+            out += here
+        return out
+
+    def read(self, text: str) -> tuple[list[str], float, int, int]:
+        """(identifiers, nearest first, cosine of the first, words of licence text, words) of a whole text."""
+        low = text.lower()
         if not any(t in low for t in TRIGGERS):
-            return None, 0.0, 0, 0
-        block: list[str] = []
-        for line in [*text.split("\n"), ""]:
-            if any(t in line.lower() for t in TRIGGERS):
-                block.append(line)
-                continue
-            if block:
-                pieces = {" ".join(block), *(s for x in block for s in _SENTENCE.split(x) if any(t in s.lower() for t in TRIGGERS))}
-                near = [(self.best(p), p) for p in pieces]
-                good = [(c, p) for c, p in near if c[0] >= LEAST]
-                if good:
-                    held += max(len(_WORD.findall(p)) for _, p in good)
-                    found = min([found, *(c for c, _ in good)], key=lambda c: (-c[0], c[1]))
-            block = []
-        return (found[1], found[0], held, len(_WORD.findall(text))) if found[1] else (None, 0.0, 0, 0)
+            return [], 0.0, 0, 0
+        found = sorted(self.found(unmarked(text)), key=lambda f: (-f[0], f[1]))
+        if not found:
+            return [], 0.0, 0, 0
+        return list(dict.fromkeys(f[1] for f in found)), found[0][0], sum(f[2] for f in found), len(_WORD.findall(text))
+
+
+_BLANK = re.compile(r"\n[ \t]*\n")
+
+
+def _runs_of(lines: list[str]) -> list[str]:
+    """Runs of neighbouring lines that have a trigger each."""
+    out: list[list[str]] = [[]]
+    for x in lines:
+        if any(t in x.lower() for t in TRIGGERS):
+            out[-1].append(x)
+        elif out[-1]:
+            out.append([])
+    return ["\n".join(x) for x in out if x]
 
 
 @lru_cache(maxsize=2)
-def _model(templates: tuple[tuple[str, str], ...]) -> Model:
-    return Model(templates)
+def _model(known: tuple[tuple[str, str], ...]) -> Model:
+    return Model(known)
 
 
-def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(file_id, path, licence, cosine, is_licence_file, effective, inherited_from): one row for each row of ``files``.
+def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: str = "text", known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(file_id, path, licence, licences, cosine, is_licence_file, effective, inherited_from): one row for each row of ``files``.
 
-    ``licence`` is the text's own, null if none reaches the threshold; ``effective`` is that or, failing it, that of the
-    nearest directory above with a licence file (of several in one directory the largest cosine, then the smallest
-    identifier, then path), named in ``inherited_from``. Null and empty texts have none of their own; without a path
-    nothing is inherited. Whole texts are read. Repeated rows give repeated rows.
+    ``licences`` are all found in the text, nearest to its template first, and ``licence`` the first of them, null if
+    none reaches the threshold; ``effective`` is that or, failing it, that of the nearest directory above with a licence
+    file (of several in one directory the largest cosine, then the smallest identifier, then path), named in
+    ``inherited_from``. Null and empty texts have none of their own; without a path nothing is inherited. Whole texts
+    are read. Repeated rows give repeated rows, an empty table an empty one; other columns play no part. ``known`` are
+    (identifier, text) of the templates, by default ``templates()``.
     """
+    known = templates() if known is None else known
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(templates)
+        model = _model(known)
         for b in batches:
             read = [model.read(x or "") for x in b.column(2).to_pylist()]
             mostly = [bool(r[0]) and r[2] >= MOSTLY * r[3] for r in read]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in read], pa.string()), pa.array(np.array([r[1] for r in read], float)), pa.array(mostly, pa.bool_())], ["file_id", "path", "licence", "cosine", "mostly"])
+            names = pa.array([r[0] for r in read], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names, pa.array(np.array([r[1] for r in read], float)), pa.array(mostly, pa.bool_())], ["file_id", "path", "licences", "cosine", "mostly"])
 
     rows = files.select(F.col(file_id).cast("long").alias("file_id"), F.col(path).cast("string").alias("path"), F.col(text).cast("string").alias("text"))
-    rows = rows.mapInArrow(work, "file_id long, path string, licence string, cosine double, mostly boolean")
+    rows = rows.mapInArrow(work, "file_id long, path string, licences array<string>, cosine double, mostly boolean").withColumn("licence", F.get("licences", F.lit(0)))
     rows = rows.withColumn("is_licence_file", F.col("licence").isNotNull() & (F.col("mostly") | F.coalesce(F.col("path").rlike(NAMED), F.lit(False)))).drop("mostly")
     rows = written(rows.withColumn("dir", F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.when(F.col("path").isNotNull(), F.lit("")))), "licences")
     best = rows.where("is_licence_file and dir is not null").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence", "path")).alias("best"))
@@ -149,4 +238,4 @@ def scan(files: DataFrame, file_id: str = "doc_id", path: str = "path", text: st
     nearest = dirs.join(best, "above").groupBy("dir").agg(F.max_by(F.struct("taken", "taken_from"), "depth").alias("t"))
     nearest = written(nearest.select(F.col("dir").alias("_dir"), "t.taken", "t.taken_from"), "nearest")
     out = rows.join(nearest, F.col("dir") == F.col("_dir"), "left")
-    return out.select("file_id", "path", "licence", "cosine", "is_licence_file", F.coalesce("licence", "taken").alias("effective"), F.when(F.col("licence").isNull(), F.col("taken_from")).alias("inherited_from"))
+    return out.select("file_id", "path", "licence", "licences", "cosine", "is_licence_file", F.coalesce("licence", "taken").alias("effective"), F.when(F.col("licence").isNull(), F.col("taken_from")).alias("inherited_from"))

@@ -391,7 +391,7 @@ def test_licences_and_inheritance(spark):
 
 
 def test_cosine_matches_dense_vectors():
-    m = licences.Model(licences.TEMPLATES)
+    m = licences.Model(licences.templates())
     text = "This work is licensed under the GNU General Public License, version 2, or so."
     vocabulary = sorted(set(m.idf) | set(licences._terms(text)))
 
@@ -400,10 +400,85 @@ def test_cosine_matches_dense_vectors():
         return np.array([(1 + np.log(c[w])) * m.idf.get(w, m.unseen) if c[w] else 0.0 for w in vocabulary])
 
     x = dense(text)
-    best = max(((float(x @ dense(t) / np.linalg.norm(x) / np.linalg.norm(dense(t))), n) for n, t in licences.TEMPLATES), key=lambda c: c[0])
+    best = max(((float(x @ dense(t) / np.linalg.norm(x) / np.linalg.norm(dense(t))), n) for n, t in licences.templates()), key=lambda c: c[0])
     assert m.best(text)[0] == pytest.approx(best[0]) and m.best(text)[1] == best[1] == "GPL-2.0"
 
 
 def test_licences_of_odd_rows(odd, nothing):
     files = odd.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
     assert licences.scan(files).count() == odd.count() and licences.scan(files.limit(0)).count() == 0
+
+
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+
+import os
+"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+int main() { return 0; }
+"""
+GPL2 = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY.
+"""
+
+
+def test_whole_licences_and_wrapped_headers():
+    m = licences.Model(licences.templates())
+    for name, text in licences.templates():
+        found, cosine, held, words = m.read(text)
+        assert found == [name] and cosine == pytest.approx(1) and held == words
+        if words > 100:
+            found, _, held, words = m.read(text.replace("<year>", "2024").replace("<copyright holder>", "Jane Roe") + "\n\nmore words of another kind altogether\n")
+            assert found == [name] and held >= licences.MOSTLY * words
+    assert m.read(APACHE)[0] == ["Apache-2.0"] and m.read(MPL)[0] == ["MPL-2.0"] and m.read(GPL2)[0] == ["GPL-2.0"]
+    assert m.read(GPL2.replace("General", "Affero General").replace("version 2", "version 3"))[0] == ["AGPL-3.0"]
+    assert m.read("some words\nReleased under the MIT License.\nother words\nLicensed under CC BY-NC 4.0.\n")[0] == ["CC-BY-NC-4.0", "MIT"]
+    assert m.read("a license to drive and the permission to copy, with copyright law in mind. " * 30)[0] == []
+    assert m.read("x license" + " " * 300_000 + "y" + "\n#" * 50_000)[0] == []
+
+
+def test_query_of_licences_matches_a_plain_walk(spark):
+    from lamina.llm.queries import op10_licences
+
+    small = "/root/testdata/sf0.001"
+    m, rows = licences.Model(licences.templates()), {}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for d, r in docs.items():
+        found, cosine, held, words = m.read(r.text or "")
+        rows[d] = ("/".join(x for x in (r.source, r.lang, f"{d}.txt") if x is not None), found, cosine, bool(found) and held >= licences.MOSTLY * words)
+    out = op10_licences(spark, small).collect()
+    assert len(out) == len(docs) and any(r.licence for r in out)
+    for r in out:
+        path, found, cosine, whole = rows[r.doc_id]
+        want, at, folder = (found[0] if found else None), None, path
+        while want is None and folder:
+            folder = folder.rpartition("/")[0]
+            best = min(((-c, f[0], p) for p, f, c, w in rows.values() if w and p.rpartition("/")[0] == folder), default=None)
+            if best:
+                want, at = best[1:]
+            if not folder:
+                break
+        assert (r.path, r.licence, r.cosine, r.is_licence_file, r.effective, r.inherited_from) == (path, found[0] if found else None, cosine, whole, want, at)
+
+
+def test_inheritance_over_several_levels(spark):
+    mit, apache = dict(licences.templates())["MIT"], dict(licences.templates())["Apache-2.0"]
+    rows = [(1, "r/COPYING", apache), (2, "r/a/b/c/d/e.py", "x"), (3, "r/a/b/any.txt", mit), (4, "r/a/z.py", None), (5, "r2/x/y.py", "x"), (6, "r/a/b/c/NOTICE", APACHE), (7, "r/a/b/c/own.c", MPL)]
+    got = {r.file_id: (r.effective, r.inherited_from) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("Apache-2.0", None), 2: ("Apache-2.0", "r/a/b/c/NOTICE"), 3: ("MIT", None), 4: ("Apache-2.0", "r/COPYING"), 5: (None, None), 6: ("Apache-2.0", None), 7: ("MPL-2.0", None)}
