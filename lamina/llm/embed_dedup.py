@@ -2,26 +2,51 @@
 
 A normalised vector v has in each table the key of ``per_key`` values floor((a . v + b) / width), a from the normal
 distribution. Two unit vectors of cosine c lie sqrt(2 - 2c) apart, so the chance that one value agrees follows from the
-width, and the number of tables from the recall asked for. Vectors that share a bucket of some table are compared by
-exact cosine in double precision.
+width, and the number of tables from the recall asked for. ``per_key`` grows with the logarithm of the number of
+vectors, so that unrelated vectors of a bucket are about as many at every size.
+
+What moves to the buckets is not vectors but ids with the signs of ``SIGNS`` projections. Signs that differ in more
+places than two vectors at the threshold ever would (``reach``) part a pair; the others of a bucket are candidates. Where
+a vector has few candidates in a bucket, they are pairs of ids, which meet once whatever the number of tables; a dense
+bucket names its members instead, and what such buckets connect is compared in blocks. Either way vectors are fetched by
+id and compared by exact cosine in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import erf, exp, pi, sqrt
+from math import acos, ceil, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks, components
 from .common import Forest, runs, written
 
-#: At cosine 0.95 one value agrees with chance 0.87 (right angles: 0.49); 12 values and 28 tables find 0.998 of the pairs
-#: just at that threshold, and more of all others.
-PER_KEY, TABLES, WIDTH = 12, 28, 2.0
+#: One value's width: at cosine 0.95 it agrees with chance 0.87, at right angles with 0.49.
+WIDTH = 2.0
+#: Chance that a pair just at the threshold shares a bucket, and unrelated vectors that a vector meets in a bucket, about.
+RECALL, LOAD = 0.996, 128
+SIGNS = 128
+#: A bucket's members beyond this number are dense, and a run of bucket rows beyond it goes to blocks.
+DENSE, RUN = 32, 2048
+#: Vectors whose buckets are looked at to find hot ones; this only decides how rows travel.
+SAMPLE = 16_384
+
+
+def shape(n: int, cosine: float, width: float = WIDTH, sure: float = RECALL, load: float = LOAD) -> tuple[int, int]:
+    """(per_key, tables) for ``n`` vectors: a bucket holds about ``load`` at right angles, a pair at ``cosine`` is found with chance ``sure``."""
+    per_key = max(4, ceil(log(max(n, 1) / load) / -log(agreement(sqrt(2), width)))) if n > load else 4
+    return per_key, ceil(log(1 - sure) / log(1 - agreement(sqrt(2 - 2 * cosine), width) ** per_key))
+
+
+def reach(cosine: float, deviations: float = 6.0) -> int:
+    """Signs of ``SIGNS`` that two vectors of that cosine differ in at most, but for a chance of about 1e-9."""
+    p = acos(max(-1.0, min(1.0, cosine))) / pi
+    return min(SIGNS, ceil(SIGNS * p + deviations * sqrt(SIGNS * p * (1 - p))))
 
 
 def agreement(distance: float, width: float = WIDTH) -> float:
@@ -32,31 +57,32 @@ def agreement(distance: float, width: float = WIDTH) -> float:
     return erf(c / sqrt(2)) - sqrt(2 / pi) / c * (1 - exp(-c * c / 2))
 
 
-def recall(cosine: float, per_key: int = PER_KEY, tables: int = TABLES, width: float = WIDTH) -> float:
+def recall(cosine: float, per_key: int, tables: int, width: float = WIDTH) -> float:
     """Chance that a pair of that cosine shares a bucket."""
     return 1 - (1 - agreement(sqrt(2 - 2 * cosine), width) ** per_key) ** tables
 
 
 class Hashes:
+    """Bucket keys and signs of unit vectors of one length."""
+
     def __init__(self, dim: int, per_key: int, tables: int, width: float, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        self.a, self.b = rng.standard_normal((dim, tables * per_key)), rng.random(tables * per_key) * width
+        self.a, self.b = rng.standard_normal((dim, tables * per_key + SIGNS)), rng.random(tables * per_key) * width
         self.mix = rng.integers(1, 2**63, (tables, per_key), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.shape, self.width = (tables, per_key), width
 
-    def keys(self, unit: np.ndarray) -> np.ndarray:
-        """(vectors, tables). Sums run dimension by dimension, so a vector's keys don't depend on the rows beside it."""
-        out = np.empty((len(unit), self.shape[0]), np.uint64)
+    def keys(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, tables) and (vectors, 2) of 64 signs each."""
+        out, signs = np.empty((len(unit), self.shape[0]), np.uint64), np.empty((len(unit), SIGNS // 64), np.uint64)
         for i in range(0, len(unit), 4096):
-            x = unit[i : i + 4096]
-            at = np.tile(self.b, (len(x), 1))
-            for d in range(x.shape[1]):
-                at += x[:, d : d + 1] * self.a[d]
-            cell = np.floor(at / self.width).astype(np.int64).view(np.uint64).reshape(len(x), *self.shape)
+            at = unit[i : i + 4096] @ self.a
+            n = len(self.b)
+            signs[i : i + 4096] = np.packbits(at[:, n:] >= 0, axis=1).view(np.uint64)
+            cell = np.floor((at[:, :n] + self.b) / self.width).astype(np.int64).view(np.uint64).reshape(len(at), *self.shape)
             k = (cell * self.mix).sum(axis=2, dtype=np.uint64) ^ (np.arange(self.shape[0], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             k = (k ^ (k >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             out[i : i + 4096] = k ^ (k >> np.uint64(29))
-        return out.view(np.int64)
+        return out.view(np.int64), signs.view(np.int64)
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -92,106 +118,242 @@ def spanning(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
     return nodes[moved].tolist(), nodes[low[moved]].tolist()
 
 
-def _compare(cosine: float, shape: tuple[int, int, float]):
-    per_key, tables, width = shape
+def near_signs(s: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
+    return np.bitwise_count(s[i] ^ s[j]).sum(axis=1, dtype=np.int64) <= most
+
+
+_FOUND = "kind int, a long, b long, bucket long, s0 long, s1 long"
+PAIR, STAR, LATER = 0, 1, 2
+
+
+def _found(kind: int, a: np.ndarray, b: np.ndarray, bucket: np.ndarray | None = None, signs: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(a)
+    none = pa.nulls(n, pa.int64())
+    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), none if bucket is None else pa.array(bucket), none if signs is None else pa.array(signs[:, 0].astype(np.int64)), none if signs is None else pa.array(signs[:, 1].astype(np.int64))]
+    return pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "bucket", "s0", "s1"])
+
+
+def _candidates(ids: np.ndarray, signs: np.ndarray, starts: np.ndarray, apart: np.ndarray | None, most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids for vectors of few candidates in their run; the others are named, by links to one of each dense group.
+
+    ``apart`` are the rows' parts in blocks of two parts, where only rows of different parts meet.
+    """
+    end, at, n = starts[1:][np.repeat(np.arange(len(starts) - 1), np.diff(starts))], np.arange(len(ids)), len(ids)
+    left, right = [], []
+    for step in range(1, int(np.diff(starts).max(initial=1))):
+        at = at[at + step < end[at]]
+        i = at if apart is None else at[apart[at] != apart[at + step]]
+        i = i[near_signs(signs, i, i + step, most)]
+        left.append(i)
+        right.append(i + step)
+    i, j = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+    degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+    dense = (degree[i] >= DENSE) | (degree[j] >= DENSE)
+    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    if (~dense).any():
+        yield _found(PAIR, a[~dense], b[~dense])
+    if dense.any():
+        x, y = spanning(a[dense], b[dense])
+        yield _found(STAR, np.array(x, np.int64), np.array(y, np.int64))
+
+
+def _meet(most: int, blocked: bool):
+    """Candidates of bucket rows sorted by bucket; a run too long for one task's memory is passed on row by row, for blocks."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Hashes] = {}
-        for t, starts in runs(batches, ["dim", "bucket", "_lo", "_hi"]):
-            ids, copies, table_no, part = (t.column(c).to_numpy() for c in ("node", "copies", "table", "_part"))
-            split = t.column("_lo").to_numpy() != t.column("_hi").to_numpy()
-            forest, links = Forest(), np.zeros(len(ids), np.int64)
-            dims = t.column("dim").to_numpy()
-            left, right = [], []
-
-            def settle() -> None:
-                """Count each pair in the first table that holds it, and join its ends."""
-                if not left:
-                    return
-                i, j = np.concatenate(left), np.concatenate(right)
-                left.clear()
-                right.clear()
-                for d in np.unique(dims[i]).tolist():
-                    own = dims[i] == d
-                    hashes = made.setdefault(d, Hashes(d, per_key, tables, width))
-                    rows, back = np.unique(np.concatenate((i[own], j[own])), return_inverse=True)
-                    keys = hashes.keys(unit_rows(t.column("v").take(pa.array(rows))))
-                    a, b = back[: own.sum()], back[own.sum() :]
-                    for k in range(0, len(a), 1 << 16):
-                        same = keys[a[k : k + (1 << 16)]] == keys[b[k : k + (1 << 16)]]
-                        new = same.argmax(axis=1) == table_no[i[own][k : k + (1 << 16)]]
-                        x, y = i[own][k : k + (1 << 16)][new], j[own][k : k + (1 << 16)][new]
-                        np.add.at(links, x, copies[y])
-                        np.add.at(links, y, copies[x])
-                        for p, q in zip(*spanning(ids[x], ids[y]), strict=True):
-                            forest.link(p, q)
+        names = ["bucket", "_lo", "_hi"] if blocked else ["bucket"]
+        kept: dict[str, np.ndarray] | None = None
+        long_run: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = {c: batch.column(c).to_numpy() for c in [*names, "node", *(["_part"] if blocked else [])]}
+            x["signs"] = np.stack((batch.column("s0").to_numpy(), batch.column("s1").to_numpy()), axis=1).view(np.uint64)
+            if long_run is not None:  # the run goes on
+                same = np.ones(len(x["node"]), bool)
+                for c, v in zip(names, long_run, strict=True):
+                    same &= x[c] == v
+                n = int(same.sum())
+                if n:
+                    yield _found(LATER, x["node"][:n], x["node"][:n], x["bucket"][:n], x["signs"][:n])
+                    x = {c: v[n:] for c, v in x.items()}
+                if not len(x["node"]):
+                    continue
+                long_run = None
+            if kept is not None:
+                x = {c: np.concatenate((kept[c], v)) for c, v in x.items()}
+            new = np.ones(len(x["node"]), bool)
+            new[1:] = np.logical_or.reduce([x[c][1:] != x[c][:-1] for c in names])
+            starts = np.append(np.flatnonzero(new), len(new))
+            last, kept = int(starts[-2]), None
+            yield from _runs(x, starts[:-1], most, blocked)
+            rest = {c: v[last:] for c, v in x.items()}
+            if not blocked and len(rest["node"]) > RUN:
+                long_run = tuple(rest[c][0] for c in names)
+                yield _found(LATER, rest["node"], rest["node"], rest["bucket"], rest["signs"])
+            else:
+                kept = rest
+        if kept is not None:
+            yield from _runs(kept, np.array([0, len(kept["node"])]), most, blocked)
+
+    return work
 
-            size = np.diff(starts)
-            for s, n in zip(starts[:-1].tolist(), size.tolist(), strict=True):
-                u = unit_rows(t.column("v").slice(s, n))
-                for i in range(0, n - 1, 512):
-                    near = u[i : i + 512] @ u.T >= cosine - 1e-9
-                    x, y = np.nonzero(near)
-                    x = x + i
-                    below = x < y
-                    if split[s]:
-                        below &= part[s + x] != part[s + y]
-                    x, y = x[below], y[below]
-                    exact = (u[x] * u[y]).sum(axis=1) >= cosine
-                    left.append(s + x[exact])
-                    right.append(s + y[exact])
-                    if sum(map(len, left)) > 1 << 18:
-                        settle()
-            settle()
-            some = np.flatnonzero(links)
-            root = np.fromiter((forest.root(x) for x in ids[some].tolist()), np.int64, len(some))
-            # One row a vector of this batch.
-            node, first = np.unique(ids[some], return_inverse=True)
-            total = np.zeros(len(node), np.int64)
-            np.add.at(total, first, links[some])
-            roots = np.zeros(len(node), np.int64)
-            roots[first] = root
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(roots), pa.array(total)], ["a", "b", "n"])
+
+def _runs(x: dict[str, np.ndarray], starts: np.ndarray, most: int, blocked: bool) -> Iterator[pa.RecordBatch]:
+    if len(starts) < 2:
+        return
+    end, size = int(starts[-1]), np.diff(starts)
+    if not blocked and (size > RUN).any():
+        own = np.repeat(size > RUN, size)
+        yield _found(LATER, x["node"][:end][own], x["node"][:end][own], x["bucket"][:end][own], x["signs"][:end][own])
+        x = {c: v[:end][~own] for c, v in x.items()}
+        starts = np.concatenate(([0], np.cumsum(size[size <= RUN])))
+        end = int(starts[-1])
+    x = {c: v[:end] for c, v in x.items()}
+    apart = np.where(x["_lo"] == x["_hi"], -1 - np.arange(end), x["_part"]) if blocked else None
+    share = np.cumsum(np.diff(starts) ** 2) >> 22  # what is looked at together holds some millions of pairs at most, or one run
+    for k in np.unique(share):
+        runs_of = np.flatnonzero(share == k)
+        s, e = int(starts[runs_of[0]]), int(starts[runs_of[-1] + 1])
+        yield from _candidates(x["node"][s:e], x["signs"][s:e], starts[runs_of[0] : runs_of[-1] + 2] - s, None if apart is None else apart[s:e], most)
+
+
+def _check(cosine: float):
+    """Which pairs (rows of the same a and b beside each other, a vector each) are links."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("va").value_lengths().to_numpy(), b.column("vb").value_lengths().to_numpy()
+            keep = np.zeros(b.num_rows, bool)
+            for d in np.unique(size[0]).tolist():
+                own = np.flatnonzero((size[0] == d) & (size[1] == d))
+                for k in range(0, len(own), 4096):
+                    rows = pa.array(own[k : k + 4096])
+                    u, w = unit_rows(b.column("va").take(rows)), unit_rows(b.column("vb").take(rows))
+                    keep[own[k : k + 4096]] = (u * w).sum(axis=1) >= cosine
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep)) for c in ("a", "b", "na", "nb")], ["a", "b", "na", "nb"])
 
     return work
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, per_key: int = PER_KEY, tables: int = TABLES, width: float = WIDTH) -> DataFrame:
+def _count(cosine: float):
+    """Links within dense groups, block by block: for each vector their number, and one link that joins it to its component there."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in runs(batches, ["component", "_lo", "_hi"]):
+            ids, copies, part = (t.column(c).to_numpy() for c in ("node", "copies", "_part"))
+            whole = t.column("_lo").to_numpy() == t.column("_hi").to_numpy()
+            dims = pc.list_value_length(t.column("v")).to_numpy()
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                for d in np.unique(dims[s:e]).tolist():
+                    rows = s + np.flatnonzero(dims[s:e] == d)
+                    u, n = unit_rows(t.column("v").take(pa.array(rows))), np.zeros(len(rows), np.int64)
+                    forest = Forest()
+                    for i in range(0, len(rows), 512):
+                        near = u[i : i + 512] @ u.T >= cosine - 1e-9
+                        x, y = np.nonzero(near)
+                        x = x + i
+                        fine = (x < y) & (whole[s] | (part[rows[x]] != part[rows[y]]))
+                        x, y = x[fine], y[fine]
+                        exact = (u[x] * u[y]).sum(axis=1) >= cosine
+                        x, y = x[exact], y[exact]
+                        n += np.bincount(x, copies[rows[y]], len(rows)).astype(np.int64) + np.bincount(y, copies[rows[x]], len(rows)).astype(np.int64)
+                        for p, q in zip(*spanning(ids[rows[x]], ids[rows[y]]), strict=True):
+                            forest.link(p, q)
+                    some = np.flatnonzero(n)
+                    if len(some):
+                        own = ids[rows[some]]
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.array([forest.root(z) for z in own.tolist()], np.int64)), pa.array(n[some])], ["a", "b", "n"])
+
+    return work
+
+
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", cosine: float = 0.95, sure: float = RECALL, width: float = WIDTH) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of ``vectors``.
 
     Links join vectors of cosine >= ``cosine``, of those that share a bucket. Vectors that are null, empty, zero or hold
     null or non-finite components link with nothing, and vectors of different lengths not with each other. Equal
-    vectors are one node before any bucket, so copies cost nothing; buckets of any size are compared in full, in
-    blocks. A component's id is its smallest vec_id; rows without vec_id count as links but name no component.
+    vectors are one node before any bucket, so copies cost nothing; buckets and dense groups of any size are compared in
+    full, in blocks. A component's id is its smallest vec_id; rows without vec_id count as links but name no component.
+    Repeated rows are vectors of their own; an empty table gives an empty result; other columns play no part.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(usable(vector), F.col(vector).cast("array<double>")).alias("v"))
-    rows = written(rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v"))), "vectors")
+    exact = vectors.schema[vector].dataType.simpleString() if vector in vectors.columns else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(usable(vector), F.col(vector).cast(exact if exact == "array<float>" else "array<double>")).alias("v"))
+    rows = rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first"))
-    nodes = written(nodes.withColumn("dim", F.size("v")), "nodes")
+    nodes = written(nodes, "nodes")
+    n = nodes.count()
+    per_key, tables = shape(n, cosine, width, sure)
+    most = reach(cosine)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Hashes] = {}
-        for b in batches:
-            dims = b.column("dim").to_numpy()
-            for d in np.unique(dims).tolist():
-                own = b.take(pa.array(np.flatnonzero(dims == d)))
-                keys = made.setdefault(d, Hashes(d, per_key, tables, width)).keys(unit_rows(own.column("v")))
-                at = pa.array(np.repeat(np.arange(own.num_rows), tables))
-                cols = {"dim": own.column("dim").take(at), "table": pa.array(np.tile(np.arange(tables, dtype=np.int32), own.num_rows)), "bucket": pa.array(keys.ravel()), "node": own.column("node").take(at)}
-                yield pa.RecordBatch.from_pydict(cols)
-
-    dealt = written(nodes.select("dim", "node", "v").mapInArrow(deal, "dim int, table int, bucket long, node long"), "buckets")
-    # Vectors join only the buckets that hold two at least.
-    met = blocks(dealt, "bucket", F.col("node"))
-    carried = written(met, "met").join(nodes.select("node", "v", "copies"), "node")
-    carried = carried.repartition("bucket", "_lo", "_hi").sortWithinPartitions("dim", "bucket", "_lo", "_hi", "_part")
-    found = written(carried.select("dim", "table", "bucket", "node", "copies", "v", "_lo", "_hi", "_part").mapInArrow(_compare(cosine, (per_key, tables, width)), "a long, b long, n long"), "links")
-    member = components(found.select("a", "b"))
-    counts = found.groupBy("a").agg(F.sum("n").alias("n"))
+    def hashed(column: pa.Array, made: dict[int, Hashes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        size = column.value_lengths().to_numpy()
+        for d in np.unique(size).tolist():
+            own = np.flatnonzero(size == d)
+            if d not in made:
+                made[d] = Hashes(d, per_key, tables, width)
+            yield own, *made[d].keys(unit_rows(column.take(pa.array(own))))
+
+    # Buckets that hold many of a bounded sample: their rows go to blocks at once, the sooner to be spread.
+    share = F.pmod("node", F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30))
+    seen = nodes.where(share).select("v").limit(4 * SAMPLE).toArrow()
+    hot = np.zeros(0, np.int64)
+    if seen.num_rows > 256:
+        keys = [k.ravel() for _, k, _ in hashed(seen.column("v").combine_chunks(), {})]
+        names, held = np.unique(np.concatenate(keys), return_counts=True)
+        hot = names[held > max(RUN * seen.num_rows // n, seen.num_rows // 64, 64)]
+
+    def deal(only: bool):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[int, Hashes] = {}
+            for b in batches:
+                node = b.column("node").to_numpy()
+                for own, keys, signs in hashed(b.column("v"), made):
+                    at, bucket = np.repeat(np.arange(len(own)), tables), keys.ravel()
+                    if len(hot):
+                        keep = np.isin(bucket, hot) == only
+                        at, bucket = at[keep], bucket[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[own][at]), pa.array(signs[at, 0]), pa.array(signs[at, 1])], ["bucket", "node", "s0", "s1"])
+
+        return work
+
+    schema = "bucket long, node long, s0 long, s1 long"
+    dealt = nodes.select("node", "v").mapInArrow(deal(False), schema).repartition("bucket").sortWithinPartitions("bucket")
+    found = written(dealt.mapInArrow(_meet(most, False), _FOUND), "candidates")
+    later = found.where(f"kind = {LATER}").select("bucket", F.col("a").alias("node"), "s0", "s1")
+    if len(hot):
+        later = later.unionByName(nodes.select("node", "v").mapInArrow(deal(True), schema))
+    later = written(later, "later")
+    if not later.isEmpty():
+        found = found.unionByName(written(blocks(later, "bucket", F.col("node"), RUN // 2).mapInArrow(_meet(most, True), _FOUND), "candidates"))
+
+    # What dense buckets connect is compared in blocks; pairs of ids that lie in one such group are compared there.
+    stars = written(found.where(f"kind = {STAR}").select("a", "b").distinct(), "stars")
+    pairs = found.where(f"kind = {PAIR}").select("a", "b").distinct()
+    held = nodes.select("node", "v", "copies")
+    links = None
+    if not stars.isEmpty():
+        group = written(components(stars), "dense")
+        met = written(group.join(held, "node"), "dense")
+        links = written(blocks(met, "component", F.col("node")).mapInArrow(_count(cosine), "a long, b long, n long"), "links")
+        for end in ("a", "b"):
+            pairs = pairs.join(group.select(F.col("node").alias(end), F.col("component").alias(f"g{end}")), end, "left")
+        pairs = pairs.where("ga is null or gb is null or ga <> gb").select("a", "b")
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    some = written(held.join(ends, "node", "left_semi"), "vectors")
+    for end in ("a", "b"):
+        pairs = pairs.join(some.select(F.col("node").alias(end), F.col("v").alias(f"v{end}"), F.col("copies").alias(f"n{end}")), end)
+    checked = written(pairs.select("a", "b", "va", "vb", "na", "nb").mapInArrow(_check(cosine), "a long, b long, na long, nb long"), "links")
+    both = checked.select("a", "b", F.col("nb").alias("n")).unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("na").alias("n")))
+    links = both if links is None else both.unionByName(links)
+    member = components(links.select("a", "b"))
+    counts = links.groupBy("a").agg(F.sum("n").alias("n"))
+    nodes = nodes.select("node", "first", "copies")
     named = nodes.join(counts, nodes.node == counts.a, "left").join(member, nodes.node == member.node, "left").select(nodes.node, "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", nodes.node).alias("component"))
     named = written(named, "named")
     least = written(named.groupBy("component").agg(F.min("first").alias("component_id")), "least")
     named = written(named.join(least, "component").select(F.col("node").alias("_node"), "n_links", "component_id"), "named")
-    out = rows.join(named, rows.node == F.col("_node"), "left")
+    out = rows.select("vec_id", "node").join(named, F.col("node") == F.col("_node"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("_node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
