@@ -50,6 +50,22 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def spanning(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
+    """At most one link a node that join what the links (x, y) join."""
+    nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    i, j, low = at[: len(x)], at[len(x) :], np.arange(len(nodes))
+    while True:
+        now = low.copy()
+        np.minimum.at(now, i, low[j])
+        np.minimum.at(now, j, low[i])
+        now = now[now]
+        if (now == low).all():
+            break
+        low = now
+    moved = low != np.arange(len(nodes))
+    return nodes[moved].tolist(), nodes[low[moved]].tolist()
+
+
 class Forest:
     """Union-find over integers; the root of a set is its smallest member."""
 

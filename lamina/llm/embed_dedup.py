@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import blocks, components
-from .common import Forest, runs, written
+from .blocks import PAIR, STAR, blocks, candidates, components
+from .common import Forest, runs, spanning, written
 
 #: One value's width: at cosine 0.95 it agrees with chance 0.87, at right angles with 0.49.
 WIDTH = 2.0
@@ -102,122 +102,6 @@ def usable(vector: str):
     return x.isNotNull() & F.coalesce(fine, F.lit(False))
 
 
-def spanning(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
-    """At most one link a node that join what the links (x, y) join."""
-    nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
-    i, j, low = at[: len(x)], at[len(x) :], np.arange(len(nodes))
-    while True:
-        now = low.copy()
-        np.minimum.at(now, i, low[j])
-        np.minimum.at(now, j, low[i])
-        now = now[now]
-        if (now == low).all():
-            break
-        low = now
-    moved = low != np.arange(len(nodes))
-    return nodes[moved].tolist(), nodes[low[moved]].tolist()
-
-
-def near_signs(s: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> np.ndarray:
-    return np.bitwise_count(s[i] ^ s[j]).sum(axis=1, dtype=np.int64) <= most
-
-
-_FOUND = "kind int, a long, b long, bucket long, s0 long, s1 long"
-PAIR, STAR, LATER = 0, 1, 2
-
-
-def _found(kind: int, a: np.ndarray, b: np.ndarray, bucket: np.ndarray | None = None, signs: np.ndarray | None = None) -> pa.RecordBatch:
-    n = len(a)
-    none = pa.nulls(n, pa.int64())
-    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(a), pa.array(b), none if bucket is None else pa.array(bucket), none if signs is None else pa.array(signs[:, 0].astype(np.int64)), none if signs is None else pa.array(signs[:, 1].astype(np.int64))]
-    return pa.RecordBatch.from_arrays(cols, ["kind", "a", "b", "bucket", "s0", "s1"])
-
-
-def _candidates(ids: np.ndarray, signs: np.ndarray, starts: np.ndarray, apart: np.ndarray | None, most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids for vectors of few candidates in their run; the others are named, by links to one of each dense group.
-
-    ``apart`` are the rows' parts in blocks of two parts, where only rows of different parts meet.
-    """
-    end, at, n = starts[1:][np.repeat(np.arange(len(starts) - 1), np.diff(starts))], np.arange(len(ids)), len(ids)
-    left, right = [], []
-    for step in range(1, int(np.diff(starts).max(initial=1))):
-        at = at[at + step < end[at]]
-        i = at if apart is None else at[apart[at] != apart[at + step]]
-        i = i[near_signs(signs, i, i + step, most)]
-        left.append(i)
-        right.append(i + step)
-    i, j = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
-    degree = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
-    dense = (degree[i] >= DENSE) | (degree[j] >= DENSE)
-    a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-    if (~dense).any():
-        yield _found(PAIR, a[~dense], b[~dense])
-    if dense.any():
-        x, y = spanning(a[dense], b[dense])
-        yield _found(STAR, np.array(x, np.int64), np.array(y, np.int64))
-
-
-def _meet(most: int, blocked: bool):
-    """Candidates of bucket rows sorted by bucket; a run too long for one task's memory is passed on row by row, for blocks."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "_lo", "_hi"] if blocked else ["bucket"]
-        kept: dict[str, np.ndarray] | None = None
-        long_run: tuple | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = {c: batch.column(c).to_numpy() for c in [*names, "node", *(["_part"] if blocked else [])]}
-            x["signs"] = np.stack((batch.column("s0").to_numpy(), batch.column("s1").to_numpy()), axis=1).view(np.uint64)
-            if long_run is not None:  # the run goes on
-                same = np.ones(len(x["node"]), bool)
-                for c, v in zip(names, long_run, strict=True):
-                    same &= x[c] == v
-                n = int(same.sum())
-                if n:
-                    yield _found(LATER, x["node"][:n], x["node"][:n], x["bucket"][:n], x["signs"][:n])
-                    x = {c: v[n:] for c, v in x.items()}
-                if not len(x["node"]):
-                    continue
-                long_run = None
-            if kept is not None:
-                x = {c: np.concatenate((kept[c], v)) for c, v in x.items()}
-            new = np.ones(len(x["node"]), bool)
-            new[1:] = np.logical_or.reduce([x[c][1:] != x[c][:-1] for c in names])
-            starts = np.append(np.flatnonzero(new), len(new))
-            last, kept = int(starts[-2]), None
-            yield from _runs(x, starts[:-1], most, blocked)
-            rest = {c: v[last:] for c, v in x.items()}
-            if not blocked and len(rest["node"]) > RUN:
-                long_run = tuple(rest[c][0] for c in names)
-                yield _found(LATER, rest["node"], rest["node"], rest["bucket"], rest["signs"])
-            else:
-                kept = rest
-        if kept is not None:
-            yield from _runs(kept, np.array([0, len(kept["node"])]), most, blocked)
-
-    return work
-
-
-def _runs(x: dict[str, np.ndarray], starts: np.ndarray, most: int, blocked: bool) -> Iterator[pa.RecordBatch]:
-    if len(starts) < 2:
-        return
-    end, size = int(starts[-1]), np.diff(starts)
-    if not blocked and (size > RUN).any():
-        own = np.repeat(size > RUN, size)
-        yield _found(LATER, x["node"][:end][own], x["node"][:end][own], x["bucket"][:end][own], x["signs"][:end][own])
-        x = {c: v[:end][~own] for c, v in x.items()}
-        starts = np.concatenate(([0], np.cumsum(size[size <= RUN])))
-        end = int(starts[-1])
-    x = {c: v[:end] for c, v in x.items()}
-    apart = np.where(x["_lo"] == x["_hi"], -1 - np.arange(end), x["_part"]) if blocked else None
-    share = np.cumsum(np.diff(starts) ** 2) >> 22  # what is looked at together holds some millions of pairs at most, or one run
-    for k in np.unique(share):
-        runs_of = np.flatnonzero(share == k)
-        s, e = int(starts[runs_of[0]]), int(starts[runs_of[-1] + 1])
-        yield from _candidates(x["node"][s:e], x["signs"][s:e], starts[runs_of[0] : runs_of[-1] + 2] - s, None if apart is None else apart[s:e], most)
-
-
 def _check(cosine: float):
     """Which pairs (rows of the same a and b beside each other, a vector each) are links."""
 
@@ -318,14 +202,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
         return work
 
     schema = "bucket long, node long, s0 long, s1 long"
-    dealt = nodes.select("node", "v").mapInArrow(deal(False), schema).repartition("bucket").sortWithinPartitions("bucket")
-    found = written(dealt.mapInArrow(_meet(most, False), _FOUND), "candidates")
-    later = found.where(f"kind = {LATER}").select("bucket", F.col("a").alias("node"), "s0", "s1")
-    if len(hot):
-        later = later.unionByName(nodes.select("node", "v").mapInArrow(deal(True), schema))
-    later = written(later, "later")
-    if not later.isEmpty():
-        found = found.unionByName(written(blocks(later, "bucket", F.col("node"), RUN // 2).mapInArrow(_meet(most, True), _FOUND), "candidates"))
+    spread = nodes.select("node", "v").mapInArrow(deal(True), schema) if len(hot) else None
+    found = candidates(nodes.select("node", "v").mapInArrow(deal(False), schema), SIGNS // 64, most, DENSE, RUN, spread)
 
     # What dense buckets connect is compared in blocks; pairs of ids that lie in one such group are compared there.
     stars = written(found.where(f"kind = {STAR}").select("a", "b").distinct(), "stars")

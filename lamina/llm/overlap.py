@@ -1,10 +1,4 @@
-"""Near copies by overlap of word shingles: MinHash bands gather candidates, exact Jaccard similarity decides.
-
-A text is the set of its shingles. Sets that agree in all ``ROWS`` minima of one of ``BANDS`` bands share a bucket; a pair
-whose similarity is just ``least`` = 0.8 shares one with chance 1 - (1 - 0.8^8)^60 = 0.99998, all nearer ones with more.
-What buckets connect is brought together once, whole sets and in blocks of bounded size, and compared exactly there: no
-link is added, and a group of copies costs a pass over its sets, not its pairs.
-"""
+"""Exact overlap of sets of word shingles: which of the texts that a rougher method brings together are near copies."""
 
 from __future__ import annotations
 
@@ -14,49 +8,33 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
 
-from . import simhash
-from .blocks import blocks, components
-from .common import runs, written
+from .common import runs
 
 SHINGLE, LEAST = 5, 0.8
-BANDS, ROWS = 60, 8
-_CHUNK = 1 << 10
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; words as those of ``simhash.fingerprint``. A text of fewer words is one shingle."""
+def hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hash of each word shingle, repeats included: ASCII letters lower-cased, words cut at ASCII white space. A text of fewer words is one shingle, one without words has none."""
     words, digest = text.lower().split(), xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return np.array([digest(joined, 42)], np.uint64)
+        return np.array([digest(joined, 42)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     cut = map(slice, begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    return np.unique(np.fromiter(map(digest, map(joined.__getitem__, cut), repeat(42)), np.uint64, len(words) - shingle + 1))
-
-
-def _class(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes())
+    return np.fromiter(map(digest, map(joined.__getitem__, cut), repeat(42)), np.uint64, len(words) - shingle + 1)
 
 
-class Bands:
-    """Bucket keys of a set: a hash of each band's minima."""
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes; a text without words is one shingle of its own kind."""
+    own = np.unique(hashes(text, shingle))
+    return own if len(own) else np.zeros(1, np.uint64)
 
-    def __init__(self, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed)
-        self.a = rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        self.b = rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-        self.mix = rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def keys(self, own: np.ndarray) -> np.ndarray:
-        x, low = (own >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
-        for i in range(0, len(x), _CHUNK):
-            low = np.minimum(low, ((x[i : i + _CHUNK, None] ^ self.b) * self.a).min(axis=0))
-        h = ((low.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * self.mix).sum(axis=1, dtype=np.uint64)
-        return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+def class_of(own: np.ndarray) -> int:
+    """A name of the set."""
+    return xxhash.xxh64_intdigest(own.tobytes())
 
 
 def alike(at: np.ndarray, values: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -88,7 +66,7 @@ def alike(at: np.ndarray, values: np.ndarray, least: float) -> list[tuple[int, i
     return out
 
 
-def _links(least: float):
+def overlapping(least: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in runs(batches, ["component", "_lo", "_hi"]):
             name, own = t.column("class").to_numpy(), t.column("own").combine_chunks()
@@ -101,51 +79,3 @@ def _links(least: float):
                     yield pa.RecordBatch.from_arrays([pa.array(name[s + pairs[:, 0]]), pa.array(name[s + pairs[:, 1]])], ["a", "b"])
 
     return work
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """(doc_id, component_id): texts whose shingle sets have a Jaccard similarity of ``least`` or more are linked; a component's id is its smallest doc_id.
-
-    One row for each row of ``docs``. Null and blank texts are equal to each other. Rows without doc_id count for the
-    links, but name no component. Equal sets are one class before any pairing. Bands are chosen for ``LEAST`` or more.
-    """
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands()
-        for b in batches:
-            own = [shingles(x or b"", shingle) for x in b.column(1).to_pylist()]
-            keys = np.array([bands.keys(x) for x in own], np.uint64).reshape(-1).view(np.int64)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([_class(x) for x in own], np.uint64).view(np.int64)), keys], ["doc_id", "class", "buckets"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [shingles(x or b"", shingle) for x in b.column(0).to_pylist()]
-            at = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
-            values = np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([_class(x) for x in own], np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["class", "own"])
-
-    rows = written(texts.mapInArrow(deal, "doc_id long, class long, buckets array<long>"), "bands")
-    classes = written(rows.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("buckets").alias("buckets")), "classes")
-    dealt = classes.select("class", F.explode("buckets").alias("bucket"))
-    coarse = dealt.withColumn("to", F.first("class").over(Window.partitionBy("bucket").orderBy("class"))).where("to <> class")
-    member = written(components(written(coarse.select(F.col("class").alias("a"), F.col("to").alias("b")).distinct(), "coarse")), "coarse")
-
-    # The whole sets of classes with company, each once; a doc_id may stand for several texts, so classes are told again.
-    some = classes.join(member, classes["class"] == member.node, "left_semi").where("first is not null").select("first")
-    met = texts.where("doc_id is not null").join(some, F.col("doc_id") == F.col("first"), "left_semi").unionByName(texts.where("doc_id is null"))
-    met = met.select("text").mapInArrow(sets, "class long, own array<long>").join(member, F.col("class") == F.col("node"))
-    met = written(met.groupBy("class").agg(F.first("component").alias("component"), F.first("own").alias("own")), "sets")
-    links = written(blocks(met, "component", F.col("class")).mapInArrow(_links(least), "a long, b long"), "links")
-    last = components(links)
-    named = classes.join(last, classes["class"] == last.node, "left").select("class", "first", F.coalesce("component", "class").alias("component"))
-    named = written(named, "classes")
-    ids = written(named.groupBy("component").agg(F.min("first").alias("component_id")), "least")
-    named = written(named.join(ids, "component").select("class", "component_id"), "named")
-    return rows.join(named, "class").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, as ``simhash.keep_one`` chooses it."""
-    return simhash.keep_one(docs, doc_id, text, near_duplicates(docs, doc_id, text))

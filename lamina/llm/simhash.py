@@ -8,45 +8,45 @@ run. The distance to such a pivot less the distance to zero depends on the run's
 ``d`` bits agree in all these coordinates of at least ``ranges - d`` runs: each choice of that many runs is a bucket key
 that a linked pair shares for certain. Inside a bucket, pairs whose largest coordinate difference exceeds ``d`` go, and
 the survivors are verified on the fingerprints themselves. No link is lost and none is added.
+
+``near_texts`` uses the same tables for texts whose sets of five-word shingles overlap by 0.8 or more: fingerprints of
+more bits, a radius that such texts keep within, and an exact check of the overlap at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import combinations
+from math import ceil, log, log2, sqrt
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import blocks, components
+from .blocks import blocks, candidates, components
 from .common import Forest, own, runs, written
+from .overlap import LEAST, SHINGLE, class_of, hashes, overlapping, shingles
 
 BITS = 64
 _CHUNK = 1 << 16
 
 
-def _majority(hashes: np.ndarray) -> int:
+def _ones(hashes: np.ndarray) -> np.ndarray:
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         ones += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return ones
+
+
+def _majority(hashes: np.ndarray) -> int:
+    return int(np.packbits(2 * _ones(hashes) > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """64-bit SimHash of word shingles; ASCII letters lower-cased, words cut at ASCII white space, zero without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, 42)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    begins = np.concatenate(([0], ends[:-1] + 1))
-    cut = map(slice, begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
-    return _majority(np.fromiter(map(digest, map(joined.__getitem__, cut), repeat(42)), np.uint64, len(words) - shingle + 1))
+    """64-bit SimHash of word shingles, repeats included; zero without words."""
+    own = hashes(text, shingle)
+    return _majority(own) if len(own) else 0
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
@@ -155,18 +155,135 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one document of each component, the one of smallest doc_id; columns stay as they are.
+# ---------------------------------------------------------------- wide radius, for texts that overlap
+
+#: Words of a wide fingerprint, unrelated fingerprints that one meets in a bucket (about), and the chance that a pair of
+#: the least similarity shares one.
+WORDS, LOAD, SURE = 3, 128, 0.99
+#: Chance that a bit differs at similarity 0.8, for sets of all sizes: largest for 4 shingles beside the same and a fifth.
+APART = 0.1875
+RUN = 2048
+
+
+def wide(own: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """SimHash of ``words`` * 64 bits of distinct hashes: later words vote on the hashes mixed anew."""
+    out = np.empty(words, np.uint64)
+    for k in range(words):
+        x = own + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        if k:
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        out[k] = _majority(x)
+    return out
 
-    Components are those of ``found`` (doc_id, component_id), or else of ``near_duplicates``. Of rows that repeat that doc_id, the one whose text hashes lowest stays. Rows without doc_id stay all: nothing tells them apart.
+
+def radius(words: int = WORDS, deviations: float = 5.0) -> int:
+    """Bits that two wide fingerprints at the least similarity differ in at most, but for a chance below 1e-6."""
+    n = BITS * words
+    return ceil(n * APART + deviations * sqrt(n * APART * (1 - APART)))
+
+
+class Runs:
+    """Pivots for a radius too wide for pigeonholes: each lies inside a random run of bits, and buckets are equal coordinates of one run's pivots.
+
+    How long runs are follows from the number of fingerprints, and how many there are from the chance that a pair at the
+    least similarity agrees in one.
     """
-    found = near_duplicates(docs, doc_id, text) if found is None else found
-    kept = f"{own(docs)}kept"
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
-    stays = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id).cast("long") == F.col(kept), "left_semi")
-    return _one_each(stays, doc_id, text).unionByName(docs.where(F.col(doc_id).isNull()))
 
+    def __init__(self, n: int, words: int = WORDS, per_run: int = 12, seed: int = 11) -> None:
+        rng = np.random.default_rng(seed)
+        self.long = min(max(6, ceil(log2(max(n, 1) / LOAD))), 60) if n > LOAD else 6
+        self.runs = ceil(log(1 - SURE) / log(1 - (1 - APART) ** self.long))
+        self.pivots = np.zeros((self.runs, per_run, words), np.uint64)
+        for r in range(self.runs):
+            bits = rng.choice(BITS * words, self.long, replace=False)
+            for k in range(per_run):
+                for b in bits[rng.random(self.long) < 0.5].tolist():
+                    self.pivots[r, k, b // BITS] |= np.uint64(1 << b % BITS)
+        self.mix = rng.integers(1, 2**63, (self.runs, per_run), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def buckets(self, fp: np.ndarray) -> np.ndarray:
+        """(fingerprints, runs): a hash of the distances to a run's pivots, each less the distance to zero (their size less twice what is set in both)."""
+        out = np.empty((len(fp), self.runs), np.uint64)
+        for r in range(self.runs):
+            common = np.bitwise_count(fp[:, None, :] & self.pivots[r][None]).sum(axis=2, dtype=np.uint64)
+            k = ((common + np.uint64(1)) * self.mix[r]).sum(axis=1, dtype=np.uint64) ^ np.uint64((r + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            k = (k ^ (k >> np.uint64(31))) * _MIX
+            out[:, r] = k ^ (k >> np.uint64(29))
+        return out.view(np.int64)
 
-def _one_each(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    by, row = Window.partitionBy(doc_id).orderBy(F.xxhash64(text)), f"{own(docs)}row"
-    return docs.withColumn(row, F.row_number().over(by)).where(F.col(row) == 1).drop(row)
+
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
+
+def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(doc_id, text_hash, component, component_id): texts whose shingle sets have a Jaccard similarity of ``least`` (0.8 or more) are linked.
+
+    Wide fingerprints of the sets share buckets of pivot coordinates and are verified by Hamming distance; at this radius
+    the largest coordinate difference would discard next to nothing. What survives is brought together, whole sets, each
+    once and in blocks of bounded size, and compared exactly: no link is added. A component's id is its smallest doc_id,
+    null if it has none. One row for each row of ``docs``; null and blank texts are equal to each other; equal sets are
+    one class before any pairing. An empty table gives an empty result; other columns play no part.
+    """
+    signs = [f"s{k}" for k in range(WORDS)]
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, fps = np.empty(b.num_rows, np.uint64), np.empty((b.num_rows, WORDS), np.uint64)
+            for i, x in enumerate(b.column(2).to_pylist()):
+                own = shingles(x or b"", shingle)
+                names[i], fps[i] = class_of(own), wide(own)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names.view(np.int64)), *(pa.array(fps[:, k].copy().view(np.int64)) for k in range(WORDS))], ["doc_id", "text_hash", "class", *signs])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [shingles(x or b"", shingle) for x in b.column(0).to_pylist()]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int32)
+            values = np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([class_of(x) for x in own], np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["class", "own"])
+
+    rows = written(texts.mapInArrow(deal, "doc_id long, text_hash long, class long, " + ", ".join(f"{s} long" for s in signs)), "fingerprints")
+    classes = written(rows.groupBy("class").agg(F.min("doc_id").alias("first"), *[F.first(s).alias(s) for s in signs]), "classes")
+    pivots = Runs(classes.count())
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.stack([b.column(s).to_numpy() for s in signs], axis=1).view(np.uint64)
+            at = np.repeat(np.arange(b.num_rows), pivots.runs)
+            yield pa.RecordBatch.from_arrays([pa.array(pivots.buckets(fps).ravel()), *(b.column(c).take(pa.array(at)) for c in ("class", *signs))], ["bucket", "node", *signs])
+
+    dealt = classes.select("class", *signs).mapInArrow(bucketed, "bucket long, node long, " + ", ".join(f"{s} long" for s in signs))
+    coarse = candidates(dealt, WORDS, radius(), 0, RUN)
+    member = written(components(coarse), "coarse")
+
+    # The whole sets of classes with company, each once; a doc_id may stand for several texts, so classes are told again.
+    some = classes.join(member, classes["class"] == member.node, "left_semi").where("first is not null").select("first")
+    met = texts.where("doc_id is not null").join(some, F.col("doc_id") == F.col("first"), "left_semi").unionByName(texts.where("doc_id is null"))
+    met = met.select("text").mapInArrow(sets, "class long, own array<long>").join(member, F.col("class") == F.col("node"))
+    met = written(met.groupBy("class").agg(F.first("component").alias("component"), F.first("own").alias("own")), "sets")
+    links = written(blocks(met, "component", F.col("class")).mapInArrow(overlapping(least), "a long, b long"), "links")
+    last = components(links)
+    named = classes.join(last, classes["class"] == last.node, "left").select("class", "first", F.coalesce("component", "class").alias("component"))
+    named = written(named, "classes")
+    ids = written(named.groupBy("component").agg(F.min("first").alias("component_id")), "least")
+    named = written(named.join(ids, "component").select("class", "component", "component_id"), "named")
+    return rows.join(named, "class").select("doc_id", "text_hash", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of ``near_texts``, the one of smallest doc_id; columns stay as they are.
+
+    Of rows that repeat that doc_id, the one whose text hashes lowest stays. A row without doc_id stays only if no row
+    of its component has one, and then one of them does.
+    """
+    found, p = written(near_texts(docs, doc_id, text), "texts"), own(docs)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(f"{p}kept")).distinct()
+    stays = docs.where(F.col(doc_id).isNotNull()).join(first, F.col(doc_id).cast("long") == F.col(f"{p}kept"), "left_semi")
+    by, row = Window.partitionBy(doc_id).orderBy(F.xxhash64(text)), f"{p}row"
+    stays = stays.withColumn(row, F.row_number().over(by)).where(F.col(row) == 1).drop(row)
+    alone = found.where("doc_id is null and component_id is null").groupBy("component").agg(F.min("text_hash").alias(f"{p}hash")).select(f"{p}hash")
+    unnamed = docs.where(F.col(doc_id).isNull()).withColumn(f"{p}text", F.xxhash64(text))
+    unnamed = unnamed.join(alone, F.col(f"{p}text") == F.col(f"{p}hash"), "left_semi").dropDuplicates([f"{p}text"]).drop(f"{p}text")
+    return stays.unionByName(unnamed)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from lamina.llm import blocks, simhash
@@ -44,6 +45,17 @@ def test_documents_match_brute_force(spark):
     assert [got[d][1] for d in ids] == brute(fps, ids, 2)
 
 
+def test_query_of_fingerprints(spark):
+    from lamina.llm.queries import op3_simhash
+
+    out = op3_simhash(spark, SF)
+    assert dict(out.dtypes) == {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = sorted(texts)
+    fps = [plain(texts[d]) for d in ids]
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in out.collect()} == dict(zip(ids, zip((f"{x:016x}" for x in fps), brute(fps, ids, 2), strict=True), strict=True))
+
+
 def test_dense_buckets_split_and_lose_nothing(spark):
     rng = random.Random(2)
     centre = rng.getrandbits(64)
@@ -63,7 +75,10 @@ def test_dense_buckets_split_and_lose_nothing(spark):
     assert [label.get(x, x) for x in ids] == brute(fps, ids, 2)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [blocks.ONE_TASK, 3])
+def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
+    """In one task, and in rounds over written tables."""
+    monkeypatch.setattr(blocks, "ONE_TASK", one_task)
     chain = [(i, i + 1) for i in range(40)]
     star = [(1000, 1000 + i) for i in range(1, 60)]
     got = {r.node: r.component for r in blocks.components(spark.createDataFrame(chain + star + [(5, 5)], "a long, b long")).collect()}
@@ -82,5 +97,5 @@ def test_odd_rows(odd, nothing):
     assert len(by[3]) == 1 and {c for _, c in by[None]} == {None}
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 1, 3, 4, 7, 9, 10, 11, 12]
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 7, 9, 10, 11, 12]
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0

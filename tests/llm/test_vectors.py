@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from lamina.llm import ann, embed_dedup
+from lamina.llm import ann, blocks, common, embed_dedup
 
 ODD = [None, [0.0] * 4, [float("nan"), 0.0, 0.0, 1.0], [float("inf"), 0.0, 0.0, 0.0], [None, 1.0, 0.0, 0.0], []]
 
@@ -68,8 +68,8 @@ def test_recall_formula():
     (ku, su), (kv, sv) = h.keys(u), h.keys(v)
     assert (ku == kv).mean() == pytest.approx(embed_dedup.agreement(np.sqrt(0.1)) ** 4, abs=0.03)
     at = np.arange(400)
-    assert embed_dedup.near_signs(np.concatenate((su, sv)).view(np.uint64), at, at + 400, embed_dedup.reach(0.95)).all()
-    assert embed_dedup.near_signs(su.view(np.uint64), at[:-1], at[1:], embed_dedup.reach(0.95)).mean() < 0.05
+    assert blocks.near_signs(np.concatenate((su, sv)).view(np.uint64), at, at + 400, embed_dedup.reach(0.95)).all()
+    assert blocks.near_signs(su.view(np.uint64), at[:-1], at[1:], embed_dedup.reach(0.95)).mean() < 0.05
 
 
 def links_of(found):
@@ -115,7 +115,7 @@ def test_recall_of_pairs_just_above_the_threshold(spark):
 def test_spanning_links_join_what_links_join():
     rng = random.Random(3)
     x, y = (np.array([rng.randrange(60) for _ in range(50)]) for _ in range(2))
-    low, high = embed_dedup.spanning(x, y)
+    low, high = common.spanning(x, y)
     from lamina.llm.common import Forest
 
     a, b = Forest(), Forest()
