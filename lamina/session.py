@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,11 +46,43 @@ def scratch(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def _file_system(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    fs, path = _file_system(spark, at)
+    fs.delete(path, True)
+
+
+def delete_on_exit(spark: SparkSession, at: str) -> None:
+    """The folder goes when the application ends."""
+    fs, path = _file_system(spark, at)
+    fs.deleteOnExit(path)
+
+
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def tables(spark: SparkSession) -> Iterator[None]:
+    """What ``materialised`` writes within goes at the end; results must be written elsewhere by then."""
+    mark = _WRITTEN.set([])
+    try:
+        yield
+    finally:
+        for at in _WRITTEN.get() or []:
+            delete(spark, at)
+        _WRITTEN.reset(mark)
+
+
 def materialised(df: DataFrame, name: str = "rows") -> DataFrame:
-    """``df``, written as Parquet in the shared folder and read again; the files go when the application ends."""
+    """``df``, written as Parquet in the shared folder and read again; the files go with ``tables`` around it, or when the application ends."""
     spark = df.sparkSession
     at = f"{scratch(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    delete_on_exit(spark, at)
+    if (own := _WRITTEN.get()) is not None:
+        own.append(at)
     return spark.read.schema(df.schema).parquet(at)
