@@ -1,4 +1,4 @@
-"""From raw documents to packed sequences: language ID, near-dedup by shingle overlap, secret masking, mixing, best-fit packing.
+"""From raw documents to packed sequences: language ID, SimHash near-dedup, secret masking, mixing, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
 stage's docs. All but the last return the columns of documents. Null texts, texts without letters (and so empty ones)
@@ -13,10 +13,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import langid, mixing, overlap, packing, secrets
+from lamina.llm import langid, mixing, packing, secrets, simhash
 from lamina.llm.common import shared_dir
 from lamina.llm.queries import tokenizer_path
-from lamina.session import share_code
+from lamina.session import delete, delete_on_exit, share_code, tables
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles overlap by 0.8 or more."""
-    return overlap.keep_one(docs)
+    """One document of each component of texts that SimHash finds near and whose five-word shingles overlap by 0.8 or more."""
+    return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 
-
 def _ready(stage):
     """The stage, with this folder's code known to Python workers."""
 
@@ -64,10 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, over the documents table of ``sf_dir``."""
+    """All stages, over the documents table of ``sf_dir``. A stage's tables go once the next stage is written, the last one with the application."""
     at = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    delete_on_exit(spark, at)
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
+        with tables(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}-{name}")
         docs = spark.read.parquet(f"{at}/{k}-{name}")
+        if before is not None:
+            delete(spark, before)
+        before = f"{at}/{k}-{name}"
     return docs
