@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lamina.model import MAX_SEQUENCE, ValueType
 
-from .varint import byte_at, encode_fixed, encode_varint, varint_len
+from .varint import byte_at, decode_varint, encode_fixed, encode_varint, let, varint_len
 
 
 def pack_tag(seq: Column, value_type: Column) -> Column:
@@ -51,16 +48,29 @@ def encode_entry(key: Column, seq: Column, value_type: Column, value: Column) ->
 
 def decode_entry(data: Column) -> Column:
     """struct(user_key, seq, value_type, value) of an encoded entry; null if it is short or its type unknown."""
-    from lamina.sources.codec import parse_entry
 
-    @F.pandas_udf("user_key binary, seq long, value_type int, value binary")
-    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            rows = [parse_entry(x) if x is not None else None for x in s.tolist()]
-            yield pd.DataFrame([r or (None, None, None, None) for r in rows], columns=["user_key", "seq", "value_type", "value"], dtype=object)
+    def byte(at: Column) -> Column:
+        return F.lpad(F.hex(F.substr(data, at + 1, F.lit(1))), 2, "0")
+
+    def key(head: Column) -> Column:
+        size = head["value"] - 8
+        tag = (head["consumed"] + size).cast("int")  # where its eight bytes begin
+        fits = (size >= 0) & (tag + 8 <= F.length(data))
+        return F.when(fits, F.struct(F.substr(data, head["consumed"] + 1, size.cast("int")).alias("user_key"), tag.alias("tag"), byte(tag).alias("kind")))
+
+    def whole(k: Column) -> Column:
+        seq = F.conv(F.concat(*[byte(k["tag"] + i) for i in range(7, 0, -1)]), 16, 10).cast("long")
+        rest = decode_varint(F.substr(data, k["tag"] + 9), 5)
+
+        def ends(r: Column) -> Column:
+            at = k["tag"] + 8 + r["consumed"]
+            value = F.substr(data, at + 1, r["value"].cast("int"))
+            entry = F.struct(k["user_key"].alias("user_key"), seq.alias("seq"), F.conv(k["kind"], 16, 10).cast("int").alias("value_type"), value.alias("value"))
+            return F.when(k["kind"].isin("00", "01") & (at + r["value"] <= F.length(data)), entry)
+
+        return let(rest, ends)
 
-    found = decoded(data)
-    return F.when(found["seq"].isNotNull(), found)
+    return let(decode_varint(data, 5), lambda head: let(key(head), whole))
 
 
 def shared_prefix(a: Column, b: Column) -> Column:

@@ -30,8 +30,24 @@ def segment_stats(segments: DataFrame) -> DataFrame:
 
 
 def zone_prune(stats: DataFrame, probes: DataFrame) -> DataFrame:
-    """(probe, file_number): segments whose key range holds a probe. The manifest has one row a segment, so it is the side that is broadcast when small."""
-    return probes.join(stats.select("file_number", "smallest_key", "largest_key"), F.col("probe").between(F.col("smallest_key"), F.col("largest_key"))).select("probe", "file_number")
+    """(probe, file_number): segments whose key range holds a probe.
+
+    Probes are dealt into ranges; a segment goes to each range that its keys meet, and meets the probes of its range
+    only. What the driver holds is the first and last probe of each range.
+    """
+    from .ordering import Ordered
+
+    dealt = Ordered(probes.select("probe"), ["probe"])
+    edges = dealt.rows.groupBy("_range").agg(F.hex(F.min("probe")).alias("lo"), F.hex(F.max("probe")).alias("hi")).where("lo is not null").orderBy("lo").collect()
+    if not edges:
+        return dealt.rows.select("probe", F.lit(None).cast("long").alias("file_number")).limit(0)
+    ranges, lows, highs = (F.split(F.lit(",".join(str(r[c]) for r in edges)), ",") for c in ("_range", "lo", "hi"))
+    first = F.size(F.filter(highs, lambda x: x < F.hex("smallest_key")))
+    last = F.size(F.filter(lows, lambda x: x <= F.hex("largest_key"))) - 1
+    placed = stats.select("file_number", "smallest_key", "largest_key", first.alias("_a"), last.alias("_b")).where("_a <= _b")
+    placed = placed.withColumn("_at", F.explode(F.sequence("_a", "_b"))).withColumn("_range", F.get(ranges, F.col("_at")).cast("int"))
+    met = dealt.rows.join(placed, "_range").where(F.col("probe").between(F.col("smallest_key"), F.col("largest_key")))
+    return met.select("probe", "file_number")
 
 
 def find_file(stats: DataFrame, probes: DataFrame) -> DataFrame:

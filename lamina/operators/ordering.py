@@ -28,10 +28,10 @@ class Ordered:
             self._stats[key] = sorted(self.rows.groupBy("_range").agg(expr.alias("x")).where("x is not null").collect())
         return self._stats[key]
 
-    def _by_range(self, values: dict[int, object], kind: str) -> Column:
-        if not values:
-            return F.lit(None).cast(kind)
-        return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("_range"))
+    def _beside(self, rows: DataFrame, values: dict[int, object], kind: str, name: str) -> DataFrame:
+        """``rows`` with what ``values`` say of their range; a table of as many rows as partitions, so it is broadcast."""
+        table = rows.sparkSession.createDataFrame(sorted(values.items()), f"_of int, {name} {kind}")
+        return rows.join(F.broadcast(table), F.col("_range") == F.col("_of"), "left").drop("_of")
 
     def ranked(self, name: str = "rank") -> DataFrame:
         """Rows numbered from 1 over all ranges."""
@@ -39,21 +39,23 @@ class Ordered:
         for r in self._looked(F.count("*"), "count"):
             offsets[r["_range"]] = before
             before += r["x"]
-        return self.rows.withColumn(name, (F.row_number().over(self.window) + self._by_range(offsets, "long")).cast("long")).drop("_range")
+        rows = self._beside(self.rows.withColumn(name, F.row_number().over(self.window)), offsets, "long", "_before")
+        return rows.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
 
     def neighbour(self, value: str, name: str, step: int) -> DataFrame:
         """``value`` of the next (``step`` 1) or previous (-1) row; null at the ends. Keeps other columns; ``by`` must ascend."""
         kind = self.rows.schema[value].dataType.simpleString()
         pick = F.min_by if step > 0 else F.max_by
-        edges = self._looked(pick(value, F.struct(*self.by)), f"edge {value} {step}")
-        ranges = [r["_range"] for r in self._looked(F.count("*"), "count")]
-        out = {}
-        for i in ranges:
-            near = [r["x"] for r in edges if (r["_range"] > i if step > 0 else r["_range"] < i)]
-            if near:
-                out[i] = near[0] if step > 0 else near[-1]
+        edges = {r["_range"]: r["x"] for r in self._looked(pick(value, F.struct(*self.by)), f"edge {value} {step}")}
+        out, near = {}, None
+        for r in self._looked(F.count("*"), "count")[:: -step]:  # from the far end, each range sees the nearest edge so far
+            i = r["_range"]
+            if near is not None:
+                out[i] = near
+            near = edges.get(i, near)
         beside = F.lead(value).over(self.window) if step > 0 else F.lag(value).over(self.window)
-        return self.rows.withColumn(name, F.coalesce(beside, self._by_range(out, kind))).drop("_range")
+        rows = self._beside(self.rows.withColumn(name, beside), out, kind, "_edge")
+        return rows.withColumn(name, F.coalesce(name, "_edge")).drop("_range", "_edge")
 
 
 def lower_bounds(probes: DataFrame, keys: DataFrame, name: str = "found") -> DataFrame:
@@ -68,5 +70,5 @@ def lower_bounds(probes: DataFrame, keys: DataFrame, name: str = "found") -> Dat
     ranges = [r["_range"] for r in dealt._looked(F.count("*"), "count")]
     later = {i: firsts[j]["x"] for i in ranges if (j := bisect_right([r["_range"] for r in firsts], i)) < len(firsts)}
     ahead = Window.partitionBy("_range").orderBy("_k", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = F.coalesce(F.first(key, ignorenulls=True).over(ahead), dealt._by_range(later, "binary"))
-    return dealt.rows.withColumn(name, found).where("_side = 0").select(F.col("_k").alias("probe"), name)
+    rows = dealt._beside(dealt.rows.withColumn(name, F.first(key, ignorenulls=True).over(ahead)).where("_side = 0"), later, "binary", "_later")
+    return rows.select(F.col("_k").alias("probe"), F.coalesce(name, "_later").alias(name))

@@ -28,10 +28,10 @@ def group_commits(ops: DataFrame, group: int = GROUP) -> DataFrame:
     return ops.groupBy(number.alias("group_no")).agg(F.count("*").alias("n_ops"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
-def restarts(sizes: np.ndarray, limit: int, strictly: bool) -> np.ndarray:
-    """For sizes in order, the number of the run each falls in; a run ends once its sum reaches (or exceeds) ``limit``."""
+def restarts(sizes: np.ndarray, limit: int, strictly: bool, held: int = 0) -> np.ndarray:
+    """For sizes in order, the number of the run each falls in; a run ends once its sum reaches (or exceeds) ``limit``. ``held`` is the sum of the first run so far."""
     ends, total = np.zeros(len(sizes), np.int64), np.cumsum(sizes)
-    start, base, run = 0, 0, 0
+    start, base, run = 0, -held, 0
     while start < len(sizes):
         stop = int(np.searchsorted(total, base + limit, side="right" if strictly else "left"))
         ends[start : stop + 1] = run
@@ -41,21 +41,30 @@ def restarts(sizes: np.ndarray, limit: int, strictly: bool) -> np.ndarray:
     return ends
 
 
+def folded(sizes: np.ndarray, limit: int, strictly: bool, run: int, held: int) -> tuple[np.ndarray, int, int]:
+    """``restarts`` of a part, and the run and its sum that the next part goes on with."""
+    runs = restarts(sizes, limit, strictly, held) + run
+    if len(sizes):
+        last = int(runs[-1])
+        held = int(sizes[runs == last].sum()) + (held if last == run else 0)
+        run, held = (last + 1, 0) if held > limit or (held == limit and not strictly) else (last, held)
+    return runs, run, held
+
+
 def rotated(ops: DataFrame, group: int = GROUP, limit: int = MEMTABLE) -> DataFrame:
     """(table_no, n_groups, n_ops, bytes, first_seq, last_seq): the memory tables that a log fills, one after another.
 
     The size is looked at once a group, before it is applied, so the group that exceeds the limit stays. The fold runs
-    over one row a group, as one writer's order demands; many writers are many logs.
+    over one row a group, as one writer's order demands, batch by batch; many writers are many logs.
     """
     number = F.expr(f"(seq - 1) div {int(group)}")
     groups = ops.groupBy(number.alias("group_no")).agg(F.count("*").alias("n_ops"), F.sum(entry_size(F.col("user_key"), F.col("value"))).alias("bytes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_rows = [b for b in batches if len(b)]
-        if all_rows:
-            rows = pd.concat(all_rows, ignore_index=True)
-            rows["table_no"] = restarts(rows["bytes"].to_numpy(), limit, True)
-            yield rows
+        run, held = 0, 0
+        for rows in batches:
+            tables, run, held = folded(rows["bytes"].to_numpy(), limit, True, run, held)
+            yield rows.assign(table_no=tables)
 
     ordered = groups.coalesce(1).sortWithinPartitions("group_no")
     told = ordered.mapInPandas(fold, "group_no long, n_ops long, bytes long, first_seq long, last_seq long, table_no long")
@@ -65,34 +74,26 @@ def rotated(ops: DataFrame, group: int = GROUP, limit: int = MEMTABLE) -> DataFr
 def block_assigned(segments: DataFrame, limit: int = BLOCK) -> DataFrame:
     """(file_number, entry_no, user_key, seq, size, block_no): entries of each segment in internal order, and their block.
 
-    A block closes once the encoded sizes of its entries reach ``limit``. One task a segment: segments are bounded.
+    A block closes once the encoded sizes of its entries reach ``limit``. A segment is one task's, batch by batch.
     """
     sized = segments.select("file_number", "user_key", "seq", "value_type", encoded_size(F.col("user_key"), F.col("value")).alias("size"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        file, entry, run, held = None, 0, 0, 0
         for b in batches:
-            held = b if held is None else pd.concat([held, b], ignore_index=True)
-            if len(held) and (last := held["file_number"].iloc[-1]) != held["file_number"].iloc[0]:
-                whole = held["file_number"] != last
-                yield from _blocks(held[whole], limit)
-                held = held[~whole]
-        if held is not None and len(held):
-            yield from _blocks(held, limit)
+            for number, own in b.groupby("file_number", sort=False):
+                if number != file:
+                    file, entry, run, held = number, 0, 0, 0
+                blocks, run, held = folded(own["size"].to_numpy(), limit, False, run, held)
+                out = own.assign(entry_no=np.arange(entry + 1, entry + 1 + len(own)), block_no=blocks)
+                entry += len(own)
+                yield out[["file_number", "entry_no", "user_key", "seq", "size", "block_no"]]
 
     order = ["file_number", "user_key", F.desc("seq"), F.desc("value_type")]
     dealt = sized.repartition("file_number").sortWithinPartitions(*order)
     return dealt.mapInPandas(fold, "file_number long, entry_no long, user_key binary, seq long, size long, block_no long")
 
 
-def _blocks(rows: pd.DataFrame, limit: int) -> Iterator[pd.DataFrame]:
-    for _, own in rows.groupby("file_number", sort=False):
-        own = own.drop(columns="value_type")
-        own["entry_no"] = np.arange(1, len(own) + 1)
-        own["block_no"] = restarts(own["size"].to_numpy(), limit, False)
-        yield own[["file_number", "entry_no", "user_key", "seq", "size", "block_no"]]
-
-
 def log_fragments(payloads: DataFrame, size: Column, block: int = 32_768, header: int = 7) -> DataFrame:
     """Adds (frag_no, frag_type, frag_length, block_no): how a log of its own lays out each row's payload of ``size`` bytes.
 

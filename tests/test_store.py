@@ -110,3 +110,82 @@ def test_restarts():
     assert write_path.restarts(np.array([5, 5, 5, 5]), 10, True).tolist() == [0, 0, 0, 1]
     assert write_path.restarts(np.array([], dtype=int), 10, True).tolist() == []
     assert write_path.restarts(np.array([50, 1]), 10, False).tolist() == [0, 1]
+
+
+def test_folds_in_parts_match_a_fold_in_one():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for strictly in (True, False):
+        sizes = rng.integers(0, 9, 500)
+        whole, parts, run, held = write_path.restarts(sizes, 20, strictly), [], 0, 0
+        for part in np.split(sizes, sorted(rng.integers(0, 500, 40).tolist())):
+            runs, run, held = write_path.folded(part, 20, strictly, run, held)
+            parts += runs.tolist()
+        assert parts == whole.tolist()
+
+
+def test_threads_write_at_once(spark, tmp_path):
+    """Every write is there once, with a sequence of its own, and each thread's in its order; commits are shared."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = Store(spark, str(tmp_path / "db"), Config(auto_flush=False))
+
+    def work(t):
+        s.put(b"t%03d" % t, b"1")
+        s.write(WriteBatch().put(b"t%03d" % t, b"2"))
+
+    with ThreadPoolExecutor(50) as pool:
+        list(pool.map(work, range(150)))
+    s.write(WriteBatch().put(b"a", b"").put(b"b", b"").delete(b"a").put(b"c", b"").put(b"d", b"").put(b"e", b"").put(b"f", b""))
+    assert s.snapshot() == 307 and sorted(r[1] for r in s._buffer) == list(range(1, 308))
+    assert len(s.files.names("log")) < 301
+    reopened = Store(spark, str(tmp_path / "db"))
+    assert reopened.snapshot() == 307 and all(reopened.get(b"t%03d" % t) == b"2" for t in (0, 77, 149)) and reopened.scan().count() == 155
+
+
+def test_a_failed_commit_fails_its_writers_only(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "db"))
+    monkeypatch.setattr(s.files, "write", lambda *a: (_ for _ in ()).throw(StoreError("full")))
+    with pytest.raises(StoreError):
+        s.put(b"a", b"1")
+    monkeypatch.undo()
+    assert s.get(b"a") is None and s.snapshot() == 0
+    s.put(b"a", b"2")
+    assert s.get(b"a") == b"2" and s.snapshot() == 1
+
+
+def test_a_cursor_outlives_a_compaction(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "db"), Config(keep_versions=1))
+    for i in range(3):
+        s.put(b"k%d" % i, b"old")
+        s.flush()
+    c = s.cursor(page=1)
+    c.seek_to_first()
+    s.write(WriteBatch().put(b"k1", b"new").delete(b"k2"))
+    s.compact()
+    assert len(s.files.names("segments")) == 4
+    seen = []
+    while c.valid():
+        seen.append((c.key(), c.value()))
+        c.next()
+    assert seen == [(b"k0", b"old"), (b"k1", b"old"), (b"k2", b"old")]
+    del c
+    s.vacuum()
+    assert len(s.files.names("segments")) == 1 and dict(s) == {b"k0": b"old", b"k1": b"new"}
+
+
+def test_loaded_versions_are_unique_and_new(spark, tmp_path):
+    from lamina.model import OPLOG, Corruption
+
+    s = Store(spark, str(tmp_path / "db"))
+    rows = [(bytearray(b"a"), 1, 1, bytearray(b"x")), (bytearray(b"a"), 2, 0, bytearray())]
+    s.load(spark.createDataFrame(rows, OPLOG))
+    assert s.snapshot() == 2 and s.ops().count() == 2
+    with pytest.raises(NotSupported):
+        s.load(spark.createDataFrame(rows, OPLOG))
+    with pytest.raises(Corruption):
+        s.load(spark.createDataFrame([(bytearray(b"b"), 3, 1, bytearray(b"x"))] * 2, OPLOG))
+    s.files.write("log/00000000000000000003.log", b"".join(__import__("lamina.sources.codec", fromlist=["x"]).write_records([b"\x03abc"])))
+    with pytest.raises(Corruption):
+        Store(spark, str(tmp_path / "db"))
