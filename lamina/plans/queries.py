@@ -152,16 +152,6 @@ def prev_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_of(cursor.prev_keys(_orders(spark, sf_dir)), "user_key", "prev_key")
 
 
-@query(_w(LINE, LATEST, LIVE) + "SELECT user_key, value FROM live WHERE user_key >= '0000000100' AND user_key < '0000000300'")
-def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_of(cursor.range_scan(_lineitem(spark, sf_dir), b"0000000100", b"0000000300").select("user_key", "value"))
-
-
-@query(_w(LINE, LATEST, LIVE) + "SELECT user_key, value FROM live WHERE user_key LIKE '00000001%'")
-def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_of(cursor.prefix_scan(_lineitem(spark, sf_dir), b"00000001").select("user_key", "value"))
-
-
 @query(_w(ORD) + f"SELECT probe FROM (SELECT lpad(CAST(range * 7 AS VARCHAR), 10, '0') AS probe FROM range({PROBES})) WHERE probe IN (SELECT user_key FROM ev)")
 def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_of(resolve.contains(_orders(spark, sf_dir), _probes(spark, "", 10, step=7)), "probe")
@@ -248,14 +238,16 @@ def group_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_path.group_commits(_events(spark, sf_dir))
 
 
-_ROTATION = f"""WITH RECURSIVE {EV}, g AS (SELECT CAST((seq - 1) // {write_path.GROUP} AS BIGINT) AS group_no, count(*) AS n_ops, CAST(sum({LEN}) AS BIGINT) AS bytes, min(seq) AS first_seq, max(seq) AS last_seq FROM ev GROUP BY 1),
+def rotation_sql(ev: str, group: int, limit: int) -> str:
+    """The memory tables that groups of ``group`` operations of ``ev`` fill, by jumps from each first group to the next."""
+    return f"""WITH RECURSIVE {ev}, g AS (SELECT CAST((seq - 1) // {group} AS BIGINT) AS group_no, count(*) AS n_ops, CAST(sum({LEN}) AS BIGINT) AS bytes, min(seq) AS first_seq, max(seq) AS last_seq FROM ev GROUP BY 1),
  c AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY group_no) AS BIGINT) AS cum FROM g),
- j AS (SELECT a.group_no, min(b.group_no) + 1 AS nxt FROM c a LEFT JOIN c b ON b.cum > a.cum - a.bytes + {write_path.MEMTABLE} GROUP BY a.group_no),
+ j AS (SELECT a.group_no, min(b.group_no) + 1 AS nxt FROM c a LEFT JOIN c b ON b.cum > a.cum - a.bytes + {limit} GROUP BY a.group_no),
  s AS (SELECT CAST(0 AS BIGINT) AS group_no, CAST(0 AS BIGINT) AS table_no UNION ALL SELECT j.nxt, s.table_no + 1 FROM s JOIN j ON j.group_no = s.group_no WHERE j.nxt IS NOT NULL AND j.nxt IN (SELECT group_no FROM g))
  SELECT table_no, count(*) AS n_groups, CAST(sum(n_ops) AS BIGINT) AS n_ops, CAST(sum(bytes) AS BIGINT) AS bytes, min(first_seq) AS first_seq, max(last_seq) AS last_seq FROM (SELECT c.*, s.table_no FROM c ASOF JOIN s ON c.group_no >= s.group_no) GROUP BY table_no"""
 
 
-@query(_ROTATION)
+@query(rotation_sql(EV, write_path.GROUP, write_path.MEMTABLE))
 def rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_path.rotated(_events(spark, sf_dir))
 
@@ -370,25 +362,13 @@ def log_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_path.log_fragments(docs, F.col("n")).drop("n")
 
 
-@query()
-def log_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CRC-32 of type and payload of each document as one full fragment; DuckDB has no CRC-32, tests use zlib."""
-    docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.crc32(F.concat(F.lit(bytearray([1])), F.col("text").cast("binary"))).alias("crc"))
+_CRC = """WITH t AS (SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+ d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents)
+ SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_prepend(CAST(1 AS BIGINT), bytes)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM d, t"""
 
 
-@query()
-def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as log records in memory and read back, a log a partition; tests hold it against the input."""
-    from lamina.sources.codec import Damage, read_records, write_records
-
-    def there_and_back(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            data = b"".join(write_records(b.column(1).to_pylist()))
-            back = [x for x in read_records(data) if not isinstance(x, Damage)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x[1]) for x in back], pa.int64()), pa.array([x[0] for x in back], pa.int64())], ["doc_id", "size", "frag_offset"])
-
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("payload"))
-    return docs.mapInArrow(there_and_back, "doc_id long, size long, frag_offset long").select("doc_id", "size")
+@query(_CRC)
+def log_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 of type and payload of each document as one full fragment."""
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.crc32(F.concat(F.lit(bytearray([1])), F.coalesce("text", F.lit("")).cast("binary"))).alias("crc"))

@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lamina.plans import queries as logs
+from lamina.plans import stored as logs
 
 SF = "/root/testdata/sf0.001"
 
