@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from .common import runs
+from .common import Forest, runs
 
 SHINGLE, LEAST = 5, 0.8
 
@@ -37,32 +37,72 @@ def class_of(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes())
 
 
+def prefixes(at: np.ndarray, values: np.ndarray, least: float) -> list[np.ndarray]:
+    """Groups of sets that share one of their rarest values, each group once.
+
+    Of n values, the n - ceil(least * n) + 1 rarest form a set's prefix: two sets of similarity ``least`` or more share a
+    value of both prefixes, whatever order of rarity they are taken in, so long as it is the same.
+    """
+    size, often = np.diff(at), np.bincount(values)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((values, often[values], owner))
+    keep = np.arange(len(values)) - np.repeat(at[:-1], size) < np.repeat(size - np.ceil(least * size - 1e-9).astype(np.int64) + 1, size)
+    held, owner = values[order][keep], owner[order][keep]
+    some = often[held] > 1
+    held, owner = held[some], owner[some]
+    order = np.lexsort((owner, held))
+    held, owner = held[order], owner[order]
+    starts = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(held))
+    starts, ends = starts[ends - starts > 1], ends[ends - starts > 1]
+    if not len(starts):
+        return []
+    mixed = (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.append(np.uint64(0), np.cumsum((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), dtype=np.uint64))
+    _, first = np.unique(np.stack((mixed[ends] - mixed[starts], (ends - starts).astype(np.uint64))), axis=1, return_index=True)
+    return [owner[s:e] for s, e in sorted(zip(starts[first].tolist(), ends[first].tolist(), strict=True), key=lambda x: x[1] - x[0])]
+
+
 def alike(at: np.ndarray, values: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links that connect the sets ``values[at[i]:at[i + 1]]`` (distinct values each) exactly as all pairs of similarity ``least`` do."""
+    """Links that connect the sets ``values[at[i]:at[i + 1]]`` (distinct values each) exactly as all pairs of similarity ``least`` do.
+
+    Sets are compared only within the groups of ``prefixes``, and only where they aren't connected yet: a group of
+    copies costs a pass over its sets, not its pairs.
+    """
     names, values = np.unique(values, return_inverse=True)
-    size, mark, out, todo = np.diff(at), np.zeros(len(names), bool), [], np.arange(len(at) - 1)
-
-    def gathered() -> tuple[np.ndarray, np.ndarray]:
-        n = size[todo]
-        first = np.cumsum(n) - n
-        return values[np.arange(n.sum()) + np.repeat(at[:-1][todo] - first, n)], first
-
-    while len(todo) > 1:
-        reached, todo = [int(todo[0])], todo[1:]
-        rest, first = gathered()
-        while reached and len(todo):
-            i = reached.pop()
-            own = values[at[i] : at[i + 1]]
-            mark[own] = True
-            common = np.add.reduceat(mark[rest], first, dtype=np.int64)
-            mark[own] = False
-            near = common * (1 + least) >= least * (size[i] + size[todo]) - 1e-9
-            if near.any():
-                found = todo[near].tolist()
-                out += [(i, j) for j in found]
-                reached += found
-                todo = todo[~near]
-                rest, first = gathered()
+    at, size, mark, out, forest = np.asarray(at, np.int64), np.diff(at), np.zeros(len(names), bool), [], Forest()
+    for group in prefixes(at, values, least):
+        roots = np.array([forest.root(i) for i in group.tolist()])
+        todo, reached = group[roots != roots[0]], group[roots == roots[0]].tolist()
+        while len(todo):
+            n = size[todo]
+            first = np.cumsum(n) - n
+            rest = values[np.arange(n.sum()) + np.repeat(at[:-1][todo] - first, n)]
+            while reached and len(todo):
+                i = reached.pop()
+                fits = np.minimum(size[i], size[todo]) >= least * np.maximum(size[i], size[todo]) - 1e-9
+                if not fits.any():
+                    continue
+                own = values[at[i] : at[i + 1]]
+                mark[own] = True
+                common = np.add.reduceat(mark[rest], first, dtype=np.int64)
+                mark[own] = False
+                near = common * (1 + least) >= least * (size[i] + size[todo]) - 1e-9
+                if near.any():
+                    for j in todo[near].tolist():
+                        out.append((i, j))
+                        forest.link(i, j)
+                    top = forest.root(i)
+                    joined = np.array([forest.root(j) == top for j in todo.tolist()])
+                    reached += todo[joined].tolist()
+                    todo = todo[~joined]
+                    n = size[todo]
+                    first = np.cumsum(n) - n
+                    rest = values[np.arange(n.sum()) + np.repeat(at[:-1][todo] - first, n)]
+            if len(todo):
+                top = forest.root(int(todo[0]))
+                same = np.array([forest.root(j) == top for j in todo.tolist()])
+                reached, todo = todo[same].tolist(), todo[~same]
     return out
 
 

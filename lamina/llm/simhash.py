@@ -160,8 +160,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 #: Words of a wide fingerprint, unrelated fingerprints that one meets in a bucket (about), and the chance that a pair of
 #: the least similarity shares one.
 WORDS, LOAD, SURE = 3, 128, 0.99
-#: Chance that a bit differs at similarity 0.8, for sets of all sizes: largest for 4 shingles beside the same and a fifth.
-APART = 0.1875
+#: Chance that a bit differs at similarity 0.8: for large sets, and the largest for any (4 shingles beside the same and a fifth).
+TYPICAL, APART = 0.1514, 0.1875
 RUN = 2048
 
 
@@ -179,9 +179,9 @@ def wide(own: np.ndarray, words: int = WORDS) -> np.ndarray:
 
 
 def radius(words: int = WORDS, deviations: float = 5.0) -> int:
-    """Bits that two wide fingerprints at the least similarity differ in at most, but for a chance below 1e-6."""
+    """Bits that two wide fingerprints at the least similarity differ in at most, but for a chance below 1e-6 (1e-3 for the smallest sets)."""
     n = BITS * words
-    return ceil(n * APART + deviations * sqrt(n * APART * (1 - APART)))
+    return ceil(n * TYPICAL + deviations * sqrt(n * TYPICAL * (1 - TYPICAL)))
 
 
 class Runs:
