@@ -189,3 +189,29 @@ def test_loaded_versions_are_unique_and_new(spark, tmp_path):
     s.files.write("log/00000000000000000003.log", b"".join(__import__("lamina.sources.codec", fromlist=["x"]).write_records([b"\x03abc"])))
     with pytest.raises(Corruption):
         Store(spark, str(tmp_path / "db"))
+
+
+def test_a_range_reaches_the_sorted_files(spark, tmp_path):
+    """Bounds are pushed to the scan, and the statistics of files sorted by key leave few rows to read."""
+    s = Store(spark, str(tmp_path / "db"))
+    rows = spark.range(40_000).select(F.lpad(F.col("id").cast("string"), 8, "0").cast("binary").alias("user_key"), F.lit(1).alias("value_type"), F.lit("v").cast("binary").alias("value"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        s.write_frame(rows.repartition(5), ["id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = s.scan(b"00010000", b"00010100")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(user_key" in plan and "LessThan(user_key" in plan and found.count() == 100
+    edges = sorted((min(k), max(k)) for f in s.ops().inputFiles() if (k := [bytes(r.user_key) for r in spark.read.parquet(f).select("user_key").collect()]))
+    assert len(edges) > 1 and all(a[1] < b[0] for a, b in zip(edges, edges[1:], strict=False))
+
+
+def test_pruning_has_no_nested_loop(spark):
+    stats = spark.createDataFrame([(2, bytearray(b"a"), bytearray(b"m")), (3, bytearray(b"b"), bytearray(b"b")), (4, bytearray(b"x"), bytearray(b"z"))], "file_number long, smallest_key binary, largest_key binary")
+    probes = spark.createDataFrame([(bytearray(c.encode()),) for c in "abcmnxyz{"], "probe binary")
+    found = manifest.zone_prune(stats, probes)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted((bytes(r.probe), r.file_number) for r in found.collect()) == [(b"a", 2), (b"b", 2), (b"b", 3), (b"c", 2), (b"m", 2), (b"x", 4), (b"y", 4), (b"z", 4)]
+    assert manifest.zone_prune(stats, probes.limit(0)).count() == 0 and manifest.zone_prune(stats.limit(0), probes).count() == 0
