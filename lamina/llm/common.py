@@ -24,21 +24,32 @@ def own(df: DataFrame) -> str:
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by ``keys`` (integers), as tables of whole runs with the starts of the runs and the end.
 
-    Holds one batch and the run that its end cuts.
+    Holds one batch and the run that its end cuts; a run over many batches is put together once.
     """
-    kept: pa.Table | None = None
+    held: list[pa.Table] = []
+    last: tuple | None = None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if kept is not None and kept.num_rows:
-            table = pa.concat_tables([kept, table])
-        if not table.num_rows:
+        if not batch.num_rows:
             continue
-        starts = _starts(table, keys)
-        kept = table.slice(starts[-1])
+        table = pa.Table.from_batches([batch])
+        starts, first = _starts(table, keys), tuple(table.column(k)[0].as_py() for k in keys)
+        if held and first != last:
+            yield _whole(held)
+            held = []
         if len(starts) > 1:
-            yield table.slice(0, starts[-1]).combine_chunks(), starts
-    if kept is not None and kept.num_rows:
-        yield kept.combine_chunks(), np.array([0, kept.num_rows])
+            before = sum(t.num_rows for t in held)
+            done = pa.concat_tables([*held, table.slice(0, starts[-1])]).combine_chunks()
+            yield done, np.concatenate(([0], starts[1:] + before))
+            held = []
+        held.append(table.slice(starts[-1]))
+        last = tuple(table.column(k)[table.num_rows - 1].as_py() for k in keys)
+    if held:
+        yield _whole(held)
+
+
+def _whole(run: list[pa.Table]) -> tuple[pa.Table, np.ndarray]:
+    table = pa.concat_tables(run).combine_chunks()
+    return table, np.array([0, table.num_rows])
 
 
 def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
