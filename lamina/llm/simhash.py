@@ -245,7 +245,7 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
             yield pa.RecordBatch.from_arrays([pa.array(np.array([class_of(x) for x in own], np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["class", "own"])
 
     rows = written(texts.mapInArrow(deal, "doc_id long, text_hash long, class long, " + ", ".join(f"{s} long" for s in signs)), "fingerprints")
-    classes = written(rows.groupBy("class").agg(F.min("doc_id").alias("first"), *[F.first(s).alias(s) for s in signs]), "classes")
+    classes = written(rows.groupBy("class").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("least"), *[F.first(s).alias(s) for s in signs]), "classes")
     pivots = Runs(classes.count())
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,9 +259,11 @@ def near_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     member = written(components(coarse), "coarse")
 
     # The whole sets of classes with company, each once; a doc_id may stand for several texts, so classes are told again.
-    some = classes.join(member, classes["class"] == member.node, "left_semi").where("first is not null").select("first")
-    met = texts.where("doc_id is not null").join(some, F.col("doc_id") == F.col("first"), "left_semi").unionByName(texts.where("doc_id is null"))
-    met = met.select("text").mapInArrow(sets, "class long, own array<long>").join(member, F.col("class") == F.col("node"))
+    some = classes.join(member, classes["class"] == member.node, "left_semi").select("first", "least")
+    met = texts.join(some.where("first is not null"), F.col("doc_id") == F.col("first"), "left_semi").select("text")
+    unnamed = texts.where("doc_id is null").join(some.where("first is null"), F.col("text_hash") == F.col("least"), "left_semi")
+    met = met.unionByName(unnamed.dropDuplicates(["text_hash"]).select("text"))
+    met = met.mapInArrow(sets, "class long, own array<long>").join(member, F.col("class") == F.col("node"))
     met = written(met.groupBy("class").agg(F.first("component").alias("component"), F.first("own").alias("own")), "sets")
     links = written(blocks(met, "component", F.col("class")).mapInArrow(overlapping(least), "a long, b long"), "links")
     last = components(links)
