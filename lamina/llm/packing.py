@@ -97,7 +97,8 @@ class _Words(dict):
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 1024, end: int | None = 2) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids, then ``end``, in pieces of ``size``; only the first may be shorter.
 
-    A null text is empty and has the one id ``end`` (or no piece, without ``end``).
+    A null text is empty and has the one id ``end`` (or no piece, without ``end``). Repeated rows have pieces of their own;
+    an empty table has none; other columns play no part. Texts of any length are encoded whole.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
