@@ -122,4 +122,5 @@ def test_common_lengths_are_ranked_in_groups(spark):
             assert offset == at
             at += length
         assert at <= 100
-    assert len(used) <= packing.lower_bound(Counter(r.length for r in rows), 100) * 1.02 + 1
+    counts = Counter(r.length for r in rows if r.length < 100)
+    assert len(used) == 500 + sum(n for _, n in packing.bin_completion(counts, 100)) <= 500 + sum(n for _, n in packing.best_fit(counts, 100))
