@@ -59,7 +59,8 @@ def decode_entry(data: Column) -> Column:
         return F.when(fits, F.struct(F.substr(data, head["consumed"] + 1, size.cast("int")).alias("user_key"), tag.alias("tag"), byte(tag).alias("kind")))
 
     def whole(k: Column) -> Column:
-        seq = F.conv(F.concat(*[byte(k["tag"] + i) for i in range(7, 0, -1)]), 16, 10).cast("long")
+        digits = F.hex(F.substr(data, k["tag"] + 2, F.lit(7)))
+        seq = F.conv(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(6, -1, -1)]), 16, 10).cast("long")
         rest = decode_varint(F.substr(data, k["tag"] + 9), 5)
 
         def ends(r: Column) -> Column:

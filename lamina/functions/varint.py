@@ -57,7 +57,9 @@ def decode_varint(data: Column, most: int = 10) -> Column:
 
     value = F.aggregate(F.sequence(F.lit(0), used - 1), F.lit(0).cast("long"), add)
     value = value.bitwiseAND(F.lit(0xFFFFFFFF)) if most == 5 else value
-    return F.when(used > 0, F.struct(value.alias("value"), used.alias("consumed")))
+    first = byte_at(data, F.lit(0))
+    alone = F.struct(first.alias("value"), F.lit(1).alias("consumed"))  # most are one byte, which needs no array
+    return F.when(first < 128, alone).otherwise(F.when(used > 0, F.struct(value.alias("value"), used.alias("consumed"))))
 
 
 def encode_fixed(n: Column, size: int) -> Column:
