@@ -144,6 +144,34 @@ def test_threads_write_at_once(spark, tmp_path):
     assert reopened.snapshot() == 307 and all(reopened.get(b"t%03d" % t) == b"2" for t in (0, 77, 149)) and reopened.scan().count() == 155
 
 
+def test_threads_write_whole_frames_at_once(spark, tmp_path, monkeypatch):
+    """Frames wait in the queue as batches do, in the order of each thread; their rows don't pass the driver."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    s = Store(spark, str(tmp_path / "db"))
+    s.put(b"first", b"0")
+
+    def frame(t, n, kind):
+        return spark.range(n).select(F.concat(F.lit(f"t{t}/"), F.col("id").cast("string")).cast("binary").alias("user_key"), F.lit(kind).alias("value_type"), F.lit("v").cast("binary").alias("value"))
+
+    def work(t):
+        s.write(frame(t, 50, 1))
+        s.write(frame(t, 10, 0))
+
+    taken = []
+    monkeypatch.setattr(s, "_take", lambda *row: taken.append(row))
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(work, range(6)))
+    monkeypatch.undo()
+    assert not taken and s.snapshot() == 361 and sorted(r.seq for r in s.ops().collect()) == list(range(1, 362))
+    assert s.scan().count() == 241 and len(s.version.segments) <= 13
+    s.put(b"t0/0", b"again")
+    assert Store(spark, str(tmp_path / "db")).get(b"t0/0") == b"again"
+    with pytest.raises(Exception, match="no_column"):
+        s.write(frame(0, 1, 1).withColumnRenamed("value", "no_column"))
+    assert s.snapshot() == 362
+
+
 def test_a_failed_commit_fails_its_writers_only(spark, tmp_path, monkeypatch):
     s = Store(spark, str(tmp_path / "db"))
     monkeypatch.setattr(s.files, "write", lambda *a: (_ for _ in ()).throw(StoreError("full")))
