@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,14 +68,15 @@ def overlaps(stats: DataFrame) -> DataFrame:
     return with_reach.where(F.col("reach") >= F.col("smallest_key")).select("file_number", "smallest_key", "reach")
 
 
-def apply_edits(base: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(base: DataFrame, edits: DataFrame, by: Sequence[str] = ("level", "file_number")) -> DataFrame:
     """(level, file_number, ...) after ``edits`` (order, action, level, file_number, ...): the last edit of a file decides.
 
-    An addition replaces the base's row of that number; deleting what isn't there changes nothing.
+    An addition replaces the base's row of that number; deleting what isn't there changes nothing. ``by`` says what tells
+    files apart, where numbers alone don't.
     """
     keep = [c for c in base.columns]
-    last = edits.withColumn("_last", F.row_number().over(Window.partitionBy("level", "file_number").orderBy(F.desc("edit_no")))).where("_last = 1")
-    stays = base.join(last.select("level", "file_number"), ["level", "file_number"], "left_anti")
+    last = edits.withColumn("_last", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("edit_no")))).where("_last = 1")
+    stays = base.join(last.select(*by), list(by), "left_anti")
     return stays.select(keep).unionByName(last.where("action = 'add'").select(keep))
 
 
