@@ -8,19 +8,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.session import materialised
+from lamina.session import materialised, ranges
 
 
 class Ordered:
-    """Rows dealt into ranges of ``by``, in order; ranks and neighbours over all rows come from windows within ranges.
+    """Rows dealt into ranges of ``by``, and numbered in order (``_at``, from 0) as they are written; neighbours come from windows within ranges.
 
-    What leaves the executors is a count, a first and a last value for each range: as many rows as partitions.
+    Long inputs have more ranges, not longer ones. What leaves the executors is a count, a first and a last value for each
+    range: as many rows as partitions.
     """
 
     def __init__(self, df: DataFrame, by: Sequence[Column | str]) -> None:
         by = [F.col(c) if isinstance(c, str) else c for c in by]
-        self.by, self.rows = by, materialised(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ordered")
-        self.window = Window.partitionBy("_range").orderBy(*by)
+        dealt = df.repartitionByRange(*ranges(df), *by).sortWithinPartitions(*by)
+        at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        self.by, self.rows = by, materialised(dealt.select("*", F.spark_partition_id().alias("_range"), at.alias("_at")), "ordered")
+        self.window = Window.partitionBy("_range").orderBy("_at")
         self._stats: dict[str, list] = {}
 
     def _looked(self, expr: Column, key: str) -> list:
@@ -28,6 +31,9 @@ class Ordered:
             self._stats[key] = sorted(self.rows.groupBy("_range").agg(expr.alias("x")).where("x is not null").collect())
         return self._stats[key]
 
+    def count(self) -> int:
+        return sum(r["x"] for r in self._looked(F.count("*"), "count"))
+
     def _beside(self, rows: DataFrame, values: dict[int, object], kind: str, name: str) -> DataFrame:
         """``rows`` with what ``values`` say of their range; a table of as many rows as partitions, so it is broadcast."""
         table = rows.sparkSession.createDataFrame(sorted(values.items()), f"_of int, {name} {kind}")
@@ -39,8 +45,8 @@ class Ordered:
         for r in self._looked(F.count("*"), "count"):
             offsets[r["_range"]] = before
             before += r["x"]
-        rows = self._beside(self.rows.withColumn(name, F.row_number().over(self.window)), offsets, "long", "_before")
-        return rows.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
+        rows = self._beside(self.rows, offsets, "long", "_before")
+        return rows.withColumn(name, F.col("_at") + F.col("_before") + 1).drop("_range", "_at", "_before")
 
     def neighbour(self, value: str, name: str, step: int) -> DataFrame:
         """``value`` of the next (``step`` 1) or previous (-1) row; null at the ends. Keeps other columns; ``by`` must ascend."""
@@ -55,7 +61,7 @@ class Ordered:
             near = edges.get(i, near)
         beside = F.lead(value).over(self.window) if step > 0 else F.lag(value).over(self.window)
         rows = self._beside(self.rows.withColumn(name, beside), out, kind, "_edge")
-        return rows.withColumn(name, F.coalesce(name, "_edge")).drop("_range", "_edge")
+        return rows.withColumn(name, F.coalesce(name, "_edge")).drop("_range", "_at", "_edge")
 
 
 def lower_bounds(probes: DataFrame, keys: DataFrame, name: str = "found") -> DataFrame:

@@ -62,6 +62,24 @@ def delete_on_exit(spark: SparkSession, at: str) -> None:
     fs.deleteOnExit(path)
 
 
+#: Bytes of input files that a range of rows stands for, at most, and rows of a file that are sorted by one task.
+RANGE_BYTES, RANGE_ROWS = 4 << 20, 1_000_000
+
+
+def ranges(df: DataFrame, rows: int | None = None) -> list[int]:
+    """The number of ranges to deal ``df`` into by its ``rows``, or the files that it reads if they aren't known; [] where the session's own number will do.
+
+    So what one task sorts stays the same however long the input is.
+    """
+    if rows is not None:
+        n = -(-rows // RANGE_ROWS)
+    else:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+        n = -(-sum(s for s in sizes if s < 1 << 60) // RANGE_BYTES)  # larger: unknown
+    return [n] if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamina.model import NotFound, NotSupported, StoreError
 from lamina.operators import manifest, write_path
+from lamina.operators.ordering import Ordered
 from lamina.plans.store import Config, Store, WriteBatch
 from lamina.streaming.ingest import ingest
 
@@ -203,6 +204,29 @@ def test_a_cursor_outlives_a_compaction(spark, tmp_path):
     assert len(s.files.names("segments")) == 1 and dict(s) == {b"k0": b"old", b"k1": b"new"}
 
 
+def test_long_inputs_have_more_ranges_not_longer_ones(spark, tmp_path, monkeypatch):
+    """What one task sorts is bounded: the number of ranges and of a segment's files goes with the input."""
+    from lamina import session
+
+    monkeypatch.setattr(session, "RANGE_BYTES", 4000)
+    monkeypatch.setattr(session, "RANGE_ROWS", 1000)
+    spark.range(0, 20_000, 1, 4).selectExpr("id * 7919 % 20000 AS id", "CAST(id AS STRING) AS s").write.parquet(f"{tmp_path}/in")
+    s = Store(spark, str(tmp_path / "db"))
+    rows = spark.read.parquet(f"{tmp_path}/in").select("id", F.lpad(F.col("id").cast("string"), 8, "0").cast("binary").alias("user_key"), F.lit(1).alias("value_type"), F.col("s").cast("binary").alias("value"))
+    ranged = Ordered(rows, ["id"])
+    assert ranged.rows.select("_range").distinct().count() > 10 and ranged.count() == 20_000
+    s.write_frame(rows, ["id"])
+    assert len(s.ops().inputFiles()) >= 20 and s.ops().where("seq <> CAST(CAST(user_key AS STRING) AS LONG) + 1").isEmpty()
+
+
+def test_numbers_come_without_another_shuffle(spark, tmp_path):
+    """Rows are numbered as their ranges are written; reading them joins a broadcast table only."""
+    numbered = Ordered(spark.range(1000).selectExpr("id % 10 AS a", "id AS b"), [F.desc("a"), "b"]).ranked("seq")
+    assert "Exchange hashpartitioning" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert [(r.a, r.b) for r in numbered.orderBy("seq").collect()] == sorted(((i % 10, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
+    assert sorted(r.seq for r in numbered.collect()) == list(range(1, 1001)) and numbered.columns == ["a", "b", "seq"]
+
+
 def test_loaded_versions_are_unique_and_new(spark, tmp_path):
     from lamina.model import OPLOG, Corruption
 
