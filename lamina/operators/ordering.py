@@ -70,11 +70,11 @@ def lower_bounds(probes: DataFrame, keys: DataFrame, name: str = "found") -> Dat
     Probes and keys share one range partitioning; a probe behind all keys of its range takes the first key of a later one.
     """
     both = probes.select(F.col("probe").alias("_k"), F.lit(0).alias("_side")).unionByName(keys.select(F.col("user_key").alias("_k"), F.lit(1).alias("_side")))
-    dealt = Ordered(both, ["_k"])
+    dealt = Ordered(both, ["_k", "_side"])
     key = F.when(F.col("_side") == 1, F.col("_k"))
     firsts = dealt._looked(F.min(key), "first key")
     ranges = [r["_range"] for r in dealt._looked(F.count("*"), "count")]
     later = {i: firsts[j]["x"] for i in ranges if (j := bisect_right([r["_range"] for r in firsts], i)) < len(firsts)}
-    ahead = Window.partitionBy("_range").orderBy("_k", "_side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = dealt._beside(dealt.rows.withColumn(name, F.first(key, ignorenulls=True).over(ahead)).where("_side = 0"), later, "binary", "_later")
+    ahead = Window.partitionBy("_range").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a frame that only grows is read once
+    rows = dealt._beside(dealt.rows.withColumn(name, F.last(key, ignorenulls=True).over(ahead)).where("_side = 0"), later, "binary", "_later")
     return rows.select(F.col("_k").alias("probe"), F.coalesce(name, "_later").alias(name))

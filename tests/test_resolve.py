@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamina.model import OPLOG, NotFound
 from lamina.operators import cursor, resolve
-from lamina.operators.ordering import Ordered
+from lamina.operators.ordering import Ordered, lower_bounds
 
 
 def log(spark, ops):
@@ -104,6 +105,22 @@ def test_seeks_over_many_ranges(spark):
     assert after == dict(zip(keys, [*keys[1:], None], strict=True))
 
 
+def test_lower_bounds_in_a_long_range(spark):
+    """Each row of a range is read once, not once for each row before it: 200,000 keys in one range take seconds."""
+    import time
+
+    keys = spark.range(0, 400_000, 2).select(F.lpad(F.col("id").cast("string"), 8, "0").cast("binary").alias("user_key"))
+    probes = spark.range(0, 400_001, 40_000).select((F.col("id") + 1).alias("id")).union(spark.range(0, 4, 2)).select(F.lpad(F.col("id").cast("string"), 8, "0").cast("binary").alias("probe"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        began = time.monotonic()
+        got = {int(r.probe): r.found and int(r.found) for r in lower_bounds(probes, keys).collect()}
+        took = time.monotonic() - began
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i + 1: i + 2 for i in range(0, 400_000, 40_000)} | {400_001: None, 0: 0, 2: 2} and took < 60
+
+
 def test_prefix_scan_of_all_ones(spark):
     df = log(spark, [(b"\xff", 1, 1, b"1"), (b"\xff\xff", 2, 1, b"2"), (b"\xfe", 3, 1, b"3")])
     assert set(found(cursor.prefix_scan(df, b"\xff"))) == {b"\xff", b"\xff\xff"}
