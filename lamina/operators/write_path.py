@@ -51,8 +51,8 @@ def folded(sizes: np.ndarray, limit: int, strictly: bool, run: int, held: int) -
     return runs, run, held
 
 
-def rotated(ops: DataFrame, group: int = GROUP, limit: int = MEMTABLE) -> DataFrame:
-    """(table_no, n_groups, n_ops, bytes, first_seq, last_seq): the memory tables that a log fills, one after another.
+def group_tables(ops: DataFrame, group: int = GROUP, limit: int = MEMTABLE) -> DataFrame:
+    """(group_no, n_ops, bytes, first_seq, last_seq, table_no): each group of a log, and the memory table that it is in.
 
     The size is looked at once a group, before it is applied, so the group that exceeds the limit stays. The fold runs
     over one row a group, as one writer's order demands, batch by batch; many writers are many logs.
@@ -67,7 +67,12 @@ def rotated(ops: DataFrame, group: int = GROUP, limit: int = MEMTABLE) -> DataFr
             yield rows.assign(table_no=tables)
 
     ordered = groups.coalesce(1).sortWithinPartitions("group_no")
-    told = ordered.mapInPandas(fold, "group_no long, n_ops long, bytes long, first_seq long, last_seq long, table_no long")
+    return ordered.mapInPandas(fold, "group_no long, n_ops long, bytes long, first_seq long, last_seq long, table_no long")
+
+
+def rotated(ops: DataFrame, group: int = GROUP, limit: int = MEMTABLE) -> DataFrame:
+    """(table_no, n_groups, n_ops, bytes, first_seq, last_seq): the memory tables that a log fills, one after another."""
+    told = group_tables(ops, group, limit)
     return told.groupBy("table_no").agg(F.count("*").alias("n_groups"), F.sum("n_ops").alias("n_ops"), F.sum("bytes").alias("bytes"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
 
 

@@ -173,6 +173,29 @@ def test_threads_write_whole_frames_at_once(spark, tmp_path, monkeypatch):
     assert s.snapshot() == 362
 
 
+def test_groups_of_a_frame_leave_the_segments_of_single_writes(spark, tmp_path, monkeypatch):
+    """The same segments as one batch after another, in one job, and the same reads after reopening and compaction."""
+    ops = [(i, b"k%03d" % (i * 37 % 60), i % 5 != 0, b"v" * (i % 9)) for i in range(90)]
+    one, all_ = Store(spark, str(tmp_path / "one"), Config(memtable_bytes=150, group=4)), Store(spark, str(tmp_path / "all"), Config(memtable_bytes=150, group=4))
+    for s in (one, all_):
+        s.put(b"a", b"before")
+        s.flush()
+    one.write_group([WriteBatch().put(k, v) if put else WriteBatch().delete(k) for _, k, put, v in ops])
+    one.flush()
+    monkeypatch.setattr(all_, "_take", None)  # no row passes the buffer
+    frame = spark.createDataFrame([(i, bytearray(k), int(put), bytearray(v if put else b"")) for i, k, put, v in reversed(ops)], "id long, user_key binary, value_type int, value binary")
+    all_.write_groups(frame, ["id"])
+    monkeypatch.undo()
+    facts = [[(x.level, x.file_number, x.entries, x.file_size, x.smallest_key, x.largest_key, x.smallest_seq, x.largest_seq) for x in s.version.segments] for s in (one, all_)]
+    assert facts[0] == facts[1] and len(facts[0]) > 5
+    again = Store(spark, str(tmp_path / "all"), Config(memtable_bytes=150, group=4, keep_versions=1))
+    assert sorted(map(tuple, again.ops().collect())) == sorted(map(tuple, one.ops().collect())) and again.snapshot() == 91
+    again.vacuum()
+    assert dict(again) == dict(one)
+    again.compact()
+    assert dict(again) == dict(one) and len(again.files.names("segments")) == 1
+
+
 def test_a_failed_commit_fails_its_writers_only(spark, tmp_path, monkeypatch):
     s = Store(spark, str(tmp_path / "db"))
     monkeypatch.setattr(s.files, "write", lambda *a: (_ for _ in ()).throw(StoreError("full")))
